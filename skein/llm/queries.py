@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import boilerplate, groupsplit, neardup, quality, spans, splitleak
+from skein.llm import boilerplate, evalleak, groupsplit, mixing, neardup, quality, sentences, spans, splitleak
 from skein.llm.records import corpus, records, split_name
 from skein.operators.latest import latest_per_key, utc_instant
 from skein.sources.tables import table
@@ -97,4 +97,29 @@ def p6_assignment(spark: S, sf: str) -> D:
     return groupsplit.assign_splits(written(_components(spark, sf))).withColumnsRenamed({"id": "document_id", "component": "group_id"})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared_coverage, p2_found, p2_statistics, p3_found, p3_repeated_lines, p3_cleaned, p4_found, p4_groups, p5_found, p5_leak_report, p6_found, p6_assignment)}
+def _leaks(spark: S, sf: str) -> D:
+    return evalleak.leaked_passages(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p7_found(spark: S, sf: str) -> D:
+    return _leaks(spark, sf).select("doc_id", "item_id")
+
+
+def p7_passages(spark: S, sf: str) -> D:
+    return _leaks(spark, sf)
+
+
+def p8_mix(spark: S, sf: str) -> D:
+    chosen, _ = mixing.mixed(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+    return chosen.withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: S, sf: str) -> D:
+    return mixing.mixed(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
+def p9_found(spark: S, sf: str) -> D:
+    return sentences.sentence_units(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared_coverage, p2_found, p2_statistics, p3_found, p3_repeated_lines, p3_cleaned, p4_found, p4_groups, p5_found, p5_leak_report, p6_found, p6_assignment, p7_found, p7_passages, p8_mix, p8_shares, p9_found)}
