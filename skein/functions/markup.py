@@ -6,6 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skein.functions.text import TRAILING_SECTIONS
@@ -124,16 +125,19 @@ def prose_of_html(page: str) -> str:
     return "".join(parser.said)
 
 
-def _each(f):
-    return lambda texts: texts.map(lambda t: None if t is None else f(t))
+def _wikitext(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else prose_of_wikitext(t))
 
 
-def _column(f):
-    def run(texts: pd.Series) -> pd.Series:
-        return _each(f)(texts)
+def _html(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else prose_of_html(t))
 
-    return F.pandas_udf(run, "string")
 
+def wikitext_prose(text: Column) -> Column:
+    """Wiki markup as prose; null stays null."""
+    return F.pandas_udf(_wikitext, "string")(text)
 
-#: Column functions; null stays null.
-wikitext_prose, html_prose = _column(prose_of_wikitext), _column(prose_of_html)
+
+def html_prose(text: Column) -> Column:
+    """HTML as prose; null stays null."""
+    return F.pandas_udf(_html, "string")(text)

@@ -31,6 +31,11 @@ TRAILING_SECTIONS = [
 PLAIN_TRAILING_SECTIONS = [*TRAILING_SECTIONS, "related pages", "other websites"]
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Maximal runs of non-whitespace, in order."""
     return F.regexp_extract_all(text, F.lit(r"(?U)(\S+)"), F.lit(1))
@@ -42,8 +47,7 @@ def word_count(text: Column) -> Column:
 
 def word_ngrams(text: Column, n: int = 5) -> Column:
     """Runs of n lower-cased words; a text of fewer words is one run, an empty one none."""
-    w = words(F.lower(text))
-    return ngrams(w, n)
+    return let(words(F.lower(text)), lambda w: ngrams(w, n))
 
 
 def ngrams(w: Column, n: int) -> Column:
@@ -66,8 +70,7 @@ def lines(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Intersection over union of two arrays as sets; 1 for two empty ones."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return let(F.size(F.array_union(a, b)), lambda union: F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union))
 
 
 def alpha_ratio(text: Column) -> Column:
@@ -82,15 +85,14 @@ def markup_ratio(text: Column) -> Column:
 
 
 def repeated_line_ratio(text: Column) -> Column:
-    found = lines(text)
-    return F.when(F.size(found) > 0, 1 - F.size(F.array_distinct(found)) / F.size(found)).otherwise(0.0)
+    return let(lines(text), lambda found: F.when(F.size(found) > 0, 1 - F.size(F.array_distinct(found)) / F.size(found)).otherwise(0.0))
 
 
 def language_score(text: Column, least_words: int = 20, full_rate: float = 0.35) -> Column:
     """Share of function words among ASCII words, over the full rate, at most 1; 0 for too few words."""
-    w = F.regexp_extract_all(F.lower(F.regexp_replace(text, "[^A-Za-z]+", " ")), F.lit("([a-z]+)"), F.lit(1))
-    n = F.size(w)
-    return F.when(n >= least_words, F.least(F.lit(1.0), F.size(F.filter(w, lambda x: x.isin(*FUNCTION_WORDS))) / n / full_rate)).otherwise(0.0)
+    found = F.regexp_extract_all(F.lower(F.regexp_replace(text, "[^A-Za-z]+", " ")), F.lit("([a-z]+)"), F.lit(1))
+    rate = lambda w: F.size(F.filter(w, lambda x: x.isin(*FUNCTION_WORDS))) / F.size(w)
+    return let(found, lambda w: F.when(F.size(w) >= least_words, F.least(F.lit(1.0), rate(w) / full_rate)).otherwise(0.0))
 
 
 def quality_score(text: Column, language: Column) -> Column:
@@ -107,15 +109,10 @@ def safe_id(source: Column, record: Column) -> Column:
 
 def cut_trailing_sections(text: Column) -> Column:
     """Plain text up to the first line that names a trailing section and is the first or follows a blank line."""
-    parts = F.split(text, "\n")
     bare = lambda x: F.lower(F.regexp_replace(x, r"(?U)^\s+|\s+\z", ""))
-    at = F.array_min(
-        F.filter(
-            F.transform(parts, lambda x, i: F.when(bare(x).isin(*PLAIN_TRAILING_SECTIONS) & ((i == 0) | (bare(F.get(parts, i - 1)) == "")), i)),
-            lambda i: i.isNotNull(),
-        )
-    )
-    return F.when(at.isNull(), text).otherwise(F.array_join(F.slice(parts, F.lit(1), F.coalesce(at, F.lit(0))), "\n"))
+    names = lambda low: F.array_min(F.filter(F.transform(low, lambda x, i: F.when(x.isin(*PLAIN_TRAILING_SECTIONS) & ((i == 0) | (F.get(low, i - 1) == "")), i)), lambda i: i.isNotNull()))
+    at = let(F.transform(F.split(text, "\n"), bare), names)
+    return let(at, lambda n: F.when(n.isNull(), text).otherwise(F.array_join(F.slice(F.split(text, "\n"), F.lit(1), F.coalesce(n, F.lit(0))), "\n")))
 
 
 def drop_table_lines(text: Column) -> Column:
@@ -123,12 +120,15 @@ def drop_table_lines(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*(\{\||\|\}|\|-|\|\+|!|\|)") & ~x.rlike(r"^\s*[*#|:;-]+\s*$")), "\n")
 
 
-@F.pandas_udf("string")
-def decoded(texts: pd.Series) -> pd.Series:
-    """Character references decoded once, then composed form (NFC): the two steps Spark has no function for."""
+def _decode(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", html.unescape(t)))
 
 
+def decoded(text: Column) -> Column:
+    """Character references decoded once, then composed form (NFC): the two steps Spark has no function for."""
+    return F.pandas_udf(_decode, "string")(text)
+
+
 def tidy(text: Column) -> Column:
     """Line ends as newline, blanks collapsed, lines and text stripped, at most one blank line in a row."""
     t = F.regexp_replace(text, r"\r\n?", "\n")
