@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -51,23 +52,29 @@ def _low_words(grams, digest: str) -> bytes:
     return b"".join(hashlib.blake2s(g.encode(), digest_size=8).digest()[4:] for g in grams)
 
 
-def minhash(grams: Column, n: int = 64, seed: int = 17012, digest: str = "blake2s") -> Column:
-    """n minima of (a * h + b) mod 2**32 over the grams, h the low word of a gram's 64-bit BLAKE2s or the first of its MD5; all ones without grams."""
+def minhash(text: Column, words: int = 5, n: int = 64, seed: int = 17012, digest: str = "blake2s") -> Column:
+    """n minima of (a * h + b) mod 2**32 over a text's runs of lower-cased words.
+
+    h is the low word of a run's 64-bit BLAKE2s, or the first of its MD5. A
+    text of fewer words is one run; one without words has all ones; null stays
+    null. Runs are made where they are hashed, so only signatures leave Python.
+    """
     a, b = (np.array(x, np.uint64)[:, None] for x in zip(*minhash_coefficients(n, seed)))
 
-    @F.pandas_udf("array<long>")
-    def signature(rows: pd.Series) -> pd.Series:
-        def one(gs):
-            if gs is None:
-                return None
-            if not len(gs):
-                return [0xFFFFFFFF] * n
-            h = np.frombuffer(_low_words(gs, digest), ">u4").astype(np.uint64)
-            return ((a * h[None, :] + b) & np.uint64(0xFFFFFFFF)).min(axis=1).astype(np.int64)
+    def one(t: str | None):
+        if t is None:
+            return None
+        w = re.findall(r"\S+", t.lower())
+        if not w:
+            return [0xFFFFFFFF] * n
+        grams = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
+        h = np.frombuffer(_low_words(grams, digest), ">u4").astype(np.uint64)
+        return ((a * h[None, :] + b) & np.uint64(0xFFFFFFFF)).min(axis=1).astype(np.int64)
 
+    def signature(rows: pd.Series) -> pd.Series:
         return rows.map(one)
 
-    return signature(grams)
+    return F.pandas_udf(signature, "array<long>")(text)
 
 
 def agreement(x: Column, y: Column) -> Column:

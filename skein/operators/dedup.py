@@ -17,7 +17,7 @@ def exact_edges(df: DataFrame, id: str = "document_id", digest: str = "sha") ->
 
 
 def signatures(df: DataFrame, id: str = "document_id", text: str = "text", n: int = 64, words: int = 5, digest: str = "blake2s") -> DataFrame:
-    return df.select(F.col(id), H.minhash(X.word_ngrams(F.coalesce(F.col(text), F.lit("")), words), n, digest=digest).alias("sig"))
+    return df.select(F.col(id), H.minhash(F.coalesce(F.col(text), F.lit("")), words, n, digest=digest).alias("sig"))
 
 
 def band_pairs(sigs: DataFrame, id: str = "document_id", bands: int = 16) -> DataFrame:
