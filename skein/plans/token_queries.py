@@ -1 +1,171 @@
-"""Registered queries."""
+"""Queries over token sequences: packing, count-based models, tokenizer metrics, probe sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.catalogue import RECORDS_SQL, query
+from skein.functions import text as X
+from skein.functions import tokens as K
+from skein.operators import ngrams, packing, probes
+from skein.operators import statistics as ST
+from skein.plans.corpus_queries import words_sql
+from skein.sources.manifest import SplitReader, records, split_name
+from skein.sources.tables import table
+from skein.storage import written
+
+S, D = SparkSession, DataFrame
+V = 20_000
+TOK = f"tok AS (SELECT document_id, lower(trim(split)) AS split, {words_sql('text')} AS w, strlen(text) AS bytes FROM rec WHERE text IS NOT NULL)"
+#: Word lengths stand for token ids: integers that SQL can make as well.
+IDS = "list_transform(w, lambda x: length(x)::INTEGER)"
+
+
+def _tokens(spark: S, sf: str, split: str | None = None) -> D:
+    rows = records(spark, sf, "split", "text").where("text is not null")
+    rows = rows.where(split_name() == split) if split else rows
+    return written(rows.select("document_id", X.words(F.col("text")).alias("w"), F.octet_length("text").alias("bytes")))
+
+
+_WINDOWS = (
+    f"WITH {RECORDS_SQL}, {TOK}, d AS (SELECT document_id, {IDS} AS ids, bytes, len(w) AS n FROM tok), o AS (SELECT *, coalesce(sum(n + 1) OVER (ORDER BY document_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM d), "
+    "t AS (SELECT document_id, off + unnest(range(0, n + 1)) AS pos, unnest(list_concat(ids, [-1])) AS tok, unnest(range(0, n + 1)) AS i, bytes, n FROM o), "
+    "x AS (SELECT *, (pos // 256)::BIGINT AS \"window\", CASE WHEN i < n THEN bytes // n + CASE WHEN i < bytes % n THEN 1 ELSE 0 END ELSE 0 END AS b FROM t)"
+)
+
+
+@query(f"{_WINDOWS} SELECT \"window\", sum(b)::BIGINT AS byte_count, count(*) AS tokens, sum(tok)::BIGINT AS token_sum, count(DISTINCT document_id) AS documents, (count(*) - 1)::BIGINT AS targets, md5(string_agg(tok::VARCHAR, ',' ORDER BY pos)) AS digest FROM x GROUP BY \"window\"")
+def token_windows_256(spark: S, sf: str) -> D:
+    """Packed windows: their bytes, tokens, loss targets and content."""
+    rows = _tokens(spark, sf).select("document_id", F.transform("w", lambda x: F.length(x)).alias("ids"), "bytes")
+    w = packing.pack(rows, "document_id", "ids", "bytes", -1, -2)
+    real = F.filter(F.col("input_ids"), lambda t: t != -2)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return w.select("window", "byte_count", F.size(real).cast("long").alias("tokens"), total(real).alias("token_sum"), F.size(F.array_distinct("document_ids")).cast("long").alias("documents"), total("loss_mask").alias("targets"), F.md5(F.array_join(F.transform(real, lambda t: t.cast("string")), ",")).alias("digest"))
+
+
+@query(f"{_WINDOWS} SELECT tok AS token, count(*) AS n FROM x GROUP BY tok")
+def packed_token_stream(spark: S, sf: str) -> D:
+    """Tokens recovered from packed windows, pads left out."""
+    rows = _tokens(spark, sf).select("document_id", F.transform("w", lambda x: F.length(x)).alias("ids"), "bytes")
+    return packing.token_stream(packing.pack(rows, "document_id", "ids", "bytes", -1, -2)).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {RECORDS_SQL}, {TOK}, s AS (SELECT document_id, w, unnest(CASE WHEN len(w) > 1 THEN range(0, len(w) - 1, 63) ELSE []::BIGINT[] END) AS b FROM tok) SELECT document_id AS id, (b // 63)::BIGINT AS chunk, len(w[b + 1:b + 64]) AS n, w[b + 1] AS first FROM s")
+def overlapping_chunks(spark: S, sf: str) -> D:
+    c = packing.overlapping_chunks(_tokens(spark, sf), "document_id", "w", 64)
+    return c.select("id", F.col("chunk").cast("long").alias("chunk"), F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first"))
+
+
+def _g(n: int) -> str:
+    return f"unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) ELSE []::VARCHAR[] END)"
+
+
+_HEAD, _TAIL = "regexp_replace(gram, ' ?[^ ]+$', '')", "regexp_replace(gram, '^[^ ]+ ?', '')"
+_KN = (
+    f"WITH {RECORDS_SQL}, {TOK}, tr AS (SELECT * FROM tok WHERE split = 'train'), g3 AS (SELECT gram, count(*) AS c FROM (SELECT {_g(3)} AS gram FROM tr) GROUP BY gram), g2r AS (SELECT DISTINCT gram FROM (SELECT {_g(2)} AS gram FROM tr)), "
+    f"g2 AS (SELECT {_TAIL} AS gram, count(*) AS c FROM g3 GROUP BY 1), g1 AS (SELECT {_TAIL} AS gram, count(*) AS c FROM g2r GROUP BY 1), "
+    + ", ".join(f"c{n} AS (SELECT {_HEAD} AS x, sum(c) AS total, count(*) AS types FROM g{n} GROUP BY 1), d{n} AS (SELECT CASE WHEN count(*) FILTER (c = 1) > 0 THEN count(*) FILTER (c = 1)::DOUBLE / (count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2)) ELSE 0.5 END AS d FROM g{n})" for n in (1, 2, 3))
+)
+
+
+@query(f"{_KN} SELECT 3 AS n, count(*) AS grams, sum(c)::BIGINT AS total, (SELECT round(d, 9) FROM d3) AS discount FROM g3 UNION ALL SELECT 2, count(*), sum(c)::BIGINT, (SELECT round(d, 9) FROM d2) FROM g2 UNION ALL SELECT 1, count(*), sum(c)::BIGINT, (SELECT round(d, 9) FROM d1) FROM g1")
+def kneser_ney_counts(spark: S, sf: str) -> D:
+    """Sizes and discounts of the tables of each order, fitted on training words."""
+    out = None
+    for n, (own, _, d) in enumerate(ngrams.kneser_ney_tables(_tokens(spark, sf, "train"), "w", 3), start=1):
+        s = own.agg(F.lit(n).alias("n"), F.count("*").alias("grams"), F.sum("c").alias("total"), F.lit(round(d, 9)).alias("discount"))
+        out = s if out is None else out.union(s)
+    return out
+
+
+_SCORE = (
+    f"{_KN}, v AS (SELECT document_id, w, unnest(range(2, len(w) + 1)) AS i FROM tok WHERE split = 'validation' AND len(w) > 1), r0 AS (SELECT document_id, w[greatest(1, i - 2):i] AS h, 1.0::DOUBLE / {V} AS p FROM v), "
+    "p1 AS (SELECT e.document_id, e.h, CASE WHEN k.total IS NOT NULL THEN greatest(coalesce(q.c, 0) - dd.d, 0) / k.total + dd.d * k.types / k.total * p ELSE p END AS p FROM r0 e LEFT JOIN g1 q ON q.gram = e.h[len(e.h)] LEFT JOIN c1 k ON k.x = '' CROSS JOIN d1 dd), "
+    "p2 AS (SELECT e.document_id, e.h, CASE WHEN k.total IS NOT NULL THEN greatest(coalesce(q.c, 0) - dd.d, 0) / k.total + dd.d * k.types / k.total * p ELSE p END AS p FROM p1 e LEFT JOIN g2 q ON q.gram = e.h[len(e.h) - 1] || ' ' || e.h[len(e.h)] LEFT JOIN c2 k ON k.x = e.h[len(e.h) - 1] CROSS JOIN d2 dd), "
+    "p3 AS (SELECT e.document_id, e.h, CASE WHEN len(e.h) = 3 AND k.total IS NOT NULL THEN greatest(coalesce(q.c, 0) - dd.d, 0) / k.total + dd.d * k.types / k.total * p ELSE p END AS p FROM p2 e LEFT JOIN g3 q ON len(e.h) = 3 AND q.gram = array_to_string(e.h, ' ') LEFT JOIN c3 k ON len(e.h) = 3 AND k.x = e.h[1] || ' ' || e.h[2] CROSS JOIN d3 dd)"
+)
+
+
+@query(f"{_SCORE} SELECT document_id AS id, count(*) AS targets, round(sum(-ln(p)), 4) AS nll FROM p3 GROUP BY 1")
+def kneser_ney_nll(spark: S, sf: str) -> D:
+    """Validation records under an interpolated trigram model of the training words."""
+    tables = ngrams.kneser_ney_tables(_tokens(spark, sf, "train"), "w", 3)
+    return ngrams.kneser_ney_scores(_tokens(spark, sf, "validation"), "document_id", "w", tables, V).withColumn("nll", F.round("nll", 4))
+
+
+@query()
+def kneser_ney_order_sweep(spark: S, sf: str) -> D:
+    """Held-out cost of orders 2 to 5; the least is the order to take."""
+    s = ngrams.order_sweep(_tokens(spark, sf, "train"), _tokens(spark, sf, "validation"), "document_id", "w", [2, 3, 4, 5], V)
+    return s.select("order", "targets", F.round("nll", 4).alias("nll"))
+
+
+@query(
+    f"WITH {RECORDS_SQL}, {TOK}, a AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM tok WHERE split = 'train'), j AS (SELECT array_to_string(w[greatest(1, i - 1):i], ' ') AS gram, count(*) AS c FROM a GROUP BY 1), x AS (SELECT {_HEAD} AS ctx, sum(c) AS total FROM j GROUP BY 1), "
+    f"v AS (SELECT document_id, w, unnest(range(2, len(w) + 1)) AS i FROM tok WHERE split = 'validation' AND len(w) > 1) SELECT document_id AS id, count(*) AS targets, round(sum(-ln((coalesce(c, 0) + 0.1) / (coalesce(total, 0) + 0.1 * {V}))), 4) AS nll FROM v LEFT JOIN j ON j.gram = w[i - 1] || ' ' || w[i] LEFT JOIN x ON x.ctx = w[i - 1] GROUP BY document_id"
+)
+def add_k_bigram_nll(spark: S, sf: str) -> D:
+    return ngrams.add_k_scores(_tokens(spark, sf, "train"), _tokens(spark, sf, "validation"), "document_id", "w", 2, V).withColumn("nll", F.round("nll", 4))
+
+
+@query(f"WITH {RECORDS_SQL}, {TOK}, p AS (SELECT split, list_sort(list(len(w))) AS s, sum(len(w)) AS t, sum(bytes) AS b FROM tok WHERE split IS NOT NULL GROUP BY split) SELECT split, round(t / b, 6) AS tokens_per_byte, round(t / len(s), 6) AS mean, s[(floor(0.5 * (len(s) - 1)) + 1)::BIGINT] AS p50, s[(floor(0.95 * (len(s) - 1)) + 1)::BIGINT] AS p95 FROM p")
+def tokenizer_length_metrics(spark: S, sf: str) -> D:
+    """Tokens a byte, mean and floor-index percentiles of tokens a document; lengths are counted first, so a split's sorted array is as long as its lengths are different."""
+    rows = records(spark, sf, "split", "text").where("text is not null and split is not null").select(split_name().alias("split"), X.word_count(F.col("text")).cast("long").alias("n"), F.octet_length("text").cast("long").alias("b"))
+    return K.length_metrics(rows, "split", "n", "b")
+
+
+@query()
+def bpe_token_counts(spark: S, sf: str) -> D:
+    """Tokens and bytes a source by a public byte-level vocabulary."""
+    rows = table(spark, sf, "documents").select("source", "text", K.token_count(F.col("text")).alias("tokens"))
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("utf8_bytes"))
+
+
+@query()
+def probe_groups(spark: S, sf: str) -> D:
+    """Probe records dealt into groups of one size; those whose title recurs have a sibling."""
+    r = records(spark, sf, "split", "title").where(split_name() == "probe")
+    twice = records(spark, sf, "title").groupBy("title").agg(F.count("*").alias("n"))
+    rows = r.join(twice, "title", "left").select("document_id", (F.coalesce("n", F.lit(0)) > 1).alias("sib"))
+    return probes.deal_groups(rows, "document_id", "sib", 500, 5, 17012)
+
+
+@query()
+def edited_siblings(spark: S, sf: str) -> D:
+    """Probe records edited towards the similarity of their group; rows within tolerance and their similarities."""
+    rows = records(spark, sf, "split", "text").where((split_name() == "probe") & F.col("text").rlike(r"(?U)(\S+\s+){20}"))
+    target = F.element_at(F.array(*(F.lit(t) for t in (0.9, 0.8, 0.65, 0.5))), (F.pmod(F.xxhash64("document_id"), F.lit(4)) + 1).cast("int"))
+    words = [w for w in X.FUNCTION_WORDS if len(w) > 3]
+    made = probes.edited_siblings(rows.withColumn("target", target), "document_id", "text", "target", words, 17012)
+    return made.select(F.concat(F.lit("sib_"), "id").alias("sibling_id"), F.round("jaccard", 6).alias("jaccard"), "substitutions", "within_tolerance")
+
+
+@query()
+def canary_copies(spark: S, sf: str) -> D:
+    """Inserted canaries as often as their multiplicity says, of words that training texts have."""
+    vocabulary = [r.word for r in probes.vocabulary(SplitReader(records(spark, sf, "split", "text").where("text is not null")).training_texts(), 20).orderBy(F.desc("n"), "word").limit(2000).collect()]
+    return probes.canary_copies(probes.canaries(spark, sorted(vocabulary), [1, 4, 16], 8, 99, 32, 17012)).select("canary_id", "copy")
+
+
+@query()
+def training_set_digest(spark: S, sf: str) -> D:
+    """Count and order-independent digest of each split's documents."""
+    out = None
+    for s in ("train", "validation", "test"):
+        d = probes.set_digest(records(spark, sf, "split").where(split_name() == s), "document_id").withColumn("split", F.lit(s))
+        out = d if out is None else out.union(d)
+    return out
+
+
+@query("SELECT * FROM (SELECT unnest(range(0, 100)) AS step) s, LATERAL (SELECT round(CASE WHEN step < 5 THEN (step + 1) / 5.0 WHEN step < 80 THEN 1.0 ELSE 0.1 + 0.9 * (1 - sqrt(least(1.0, (step - 80) / 20.0))) END, 9) AS multiplier)")
+def rate_schedule(spark: S, sf: str) -> D:
+    return ST.schedule(spark.range(100).withColumnRenamed("id", "step"), "step", "wsd", 100, 5, 80).withColumn("multiplier", F.round("multiplier", 9))
+
+
+@query("SELECT s AS size, p AS passes, e AS seed, 'm0-' || s || '-e' || p || '-s' || e AS name FROM (SELECT unnest(['4m', '10m', '29m']) AS s), (SELECT unnest([1, 2, 4, 8]) AS p), (SELECT unnest([0, 1, 2]) AS e)")
+def experiment_plan(spark: S, sf: str) -> D:
+    t = lambda v, c: spark.createDataFrame([(x,) for x in v], c)
+    return ST.experiment_plan(t(["4m", "10m", "29m"], "size string"), t([1, 2, 4, 8], "passes int"), t([0, 1, 2], "seed int"))
