@@ -75,9 +75,10 @@ def mixed(docs: DataFrame, targets: DataFrame, id: str = "doc_id", source: str =
     with null source, id or no tokens are never chosen; repeated rows of an id
     count as one.
     """
-    rows = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).where("id is not null and source is not null").dropDuplicates(["id"])
+    rows = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).where("id is not null and source is not null")
     wanted = targets.where("source is not null and target_weight > 0").groupBy("source").agg(F.max("target_weight").alias("w"), F.max("max_repeats").alias("cap"))
-    kept = written(rows.join(wanted.select("source"), "source", "left_semi").select("id", "source", token_count(F.col("text"), tokenizer).alias("tokens")).where("tokens > 0"))
+    counted = rows.join(wanted.select("source"), "source", "left_semi").select("id", "source", token_count(F.col("text"), tokenizer).alias("tokens")).where("tokens > 0")
+    kept = written(counted.groupBy("id").agg(F.min(F.struct("source", "tokens")).alias("d")).select("id", "d.source", "d.tokens"))
     have = kept.groupBy("source").agg(F.sum("tokens").alias("t")).join(wanted, "source").select("source", "t", "w", "cap")
     # a running total a source, over the shuffled order
     spot = F.xxhash64(F.lit(seed), F.col("id").cast("string"))

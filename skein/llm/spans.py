@@ -34,8 +34,47 @@ def block_size(least: int) -> tuple[int, int]:
     return k, least - k + 1
 
 
+#: Places of one block in a text beyond which the text is parsed by whole windows.
+MOST_PLACES = 16
+
+
+def window_factors(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Factors of x against y for texts that repeat themselves: every window of `least` characters is looked up.
+
+    A factor goes on along its place in y as long as it can; the next one
+    starts with the first window beyond it that y has, at its first place
+    there. Every window that y has is in a factor.
+    """
+    hx, hy = ta.rolling(x, least), ta.rolling(y, least)
+    if not len(hx) or not len(hy):
+        return []
+    values, first = np.unique(hy, return_index=True)
+    at = np.minimum(np.searchsorted(values, hx), len(values) - 1)
+    found = np.flatnonzero(values[at] == hx)
+    out, n = [], 0
+    while n < len(found):
+        i = int(found[n])
+        j = int(first[at[i]])
+        m = min(len(x) - i, len(y) - j)
+        size = least
+        while size < m and (x[i : i + min(2 * size, m)] == y[j : j + min(2 * size, m)]).all():
+            size *= 2
+        differ = np.flatnonzero(x[i : i + min(2 * size, m)] != y[j : j + min(2 * size, m)])
+        length = int(differ[0]) if len(differ) else m
+        if length >= least:
+            out.append((i, j, length))
+        n = int(np.searchsorted(found, i + max(1, length - least + 1)))
+    return out
+
+
 def factors(x: np.ndarray, y: np.ndarray, least: int, k: int) -> list[tuple[int, int, int]]:
-    """Factors (start in x, start in y, length) of at least `least` characters of x against y."""
+    """Factors (start in x, start in y, length) of at least `least` characters of x against y.
+
+    At every place reached the longest match decides where the next factor
+    starts; all places in y of the block there are checked backwards too, as a
+    match may have begun within the factor before. So every run of `least`
+    characters that y has lies in a factor.
+    """
     hx, hy = ta.rolling(x, k), ta.rolling(y, k)
     if not len(hx) or not len(hy):
         return []
@@ -43,25 +82,27 @@ def factors(x: np.ndarray, y: np.ndarray, least: int, k: int) -> list[tuple[int,
     sorted_y = hy[order]
     lo, hi = np.searchsorted(sorted_y, hx, "left"), np.searchsorted(sorted_y, hx, "right")
     found = np.flatnonzero(hi > lo)
-    out, i = [], 0
+    if len(found) and (hi - lo).max() > MOST_PLACES:
+        return window_factors(x, y, least)
+    out: dict[tuple[int, int], int] = {}
+    i = 0
     while (n := np.searchsorted(found, i)) < len(found):
         i = int(found[n])
-        best = (0, 0)
-        for j in order[lo[i] : hi[i]]:
+        longest = 0
+        for j in map(int, order[lo[i] : hi[i]]):
             m = min(len(x) - i, len(y) - j)
             differ = np.flatnonzero(x[i : i + m] != y[j : j + m])
-            best = max(best, (int(differ[0]) if len(differ) else m, int(j)))
-        length, j = best
-        if length < k:  # equal hashes of different text
-            i += 1
-            continue
-        m = min(i, j)
-        differ = np.flatnonzero(x[i - m : i][::-1] != y[j - m : j][::-1])
-        back = int(differ[0]) if len(differ) else m
-        if length + back >= least:
-            out.append((i - back, j - back, length + back))
-        i += max(1, length - k + 1)
-    return out
+            ahead = int(differ[0]) if len(differ) else m
+            if ahead < k:
+                continue  # equal hashes of different text
+            m = min(i, j)
+            differ = np.flatnonzero(x[i - m : i][::-1] != y[j - m : j][::-1])
+            back = int(differ[0]) if len(differ) else m
+            longest = max(longest, ahead)
+            if back + ahead >= least:
+                out[i - back, j - back] = back + ahead
+        i += max(1, longest - k + 1)
+    return [(a, b, n) for (a, b), n in out.items()]
 
 
 def _anchor_rows(least: int, levels, limit: int, hot: bool):
