@@ -33,8 +33,8 @@ def _loose(words: list[str]) -> str:
     def one(w: str) -> str:
         out = []
         for ch in w:
-            out.append(r"\s*" if ch == " " else "\\." if ch == "." else "\\-" if ch == "-" else ch)
-        return f"[{HIDDEN}]*".join(out)
+            out.append(r"\s{0,3}" if ch == " " else "\\." if ch == "." else "\\-" if ch == "-" else ch)
+        return f"[{HIDDEN}]{{0,2}}".join(out)
 
     forms = {f for w in words for f in (unicodedata.normalize("NFC", w), unicodedata.normalize("NFD", w))}
     return "|".join(sorted(map(one, forms), key=lambda x: (-len(x), x)))
@@ -71,15 +71,16 @@ def masked(text: Column) -> Column:
     opened = rf"(?Us)\A(?:{QUOTED})\z|\A[^\S\n]*(?:[•*]|\d{{1,9}}\))\s"
     t = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(opened), _mask(p)).otherwise(p)), "")
     dot = MASKS[0]
-    before = r"(?<![\p{L}\p{N}\p{M}])"
+    # each pattern starts at the point itself and looks back from there, so it costs nothing elsewhere
+    before, few = r"(?<=(?<![\p{L}\p{N}\p{M}])", f"[{HIDDEN}]{{0,2}}"
     for pattern, put in (
-        (rf"(?U)({before}(?:{_loose(ALWAYS)})[{HIDDEN}]*)\.", f"$1{dot}"),
-        (rf"(?U)({before}(?:{_loose(NUMBERED)})[{HIDDEN}]*)\.(?=\s*[\p{{N}}])", f"$1{dot}"),
-        (rf"(?U)({before}(?:p|т|z|u|d|a|av|apr|i|e)[{HIDDEN}]*)\.(?=\s*(?:ej|ex|д|е|п|B|a|h|C|J|g)[{HIDDEN}]*[.{dot}])", f"$1{dot}"),
-        (r"(?U)(\bal)\.(?=\s*\()", f"$1{dot}"),
+        (rf"(?U)\.{before}(?:{_loose(ALWAYS)}){few}\.)", dot),
+        (rf"(?U)\.(?=\s*\p{{N}}){before}(?:{_loose(NUMBERED)}){few}\.)", dot),
+        (rf"(?U)\.(?=\s*(?:ej|ex|д|е|п|B|a|h|C|J|g){few}[.{dot}]){before}(?:p|т|z|u|d|a|av|apr|i|e){few}\.)", dot),
+        (rf"(?U)\.(?=\s*\(){before}al\.)", dot),
         # initials before a name, and ordinals
-        (rf"(?U)({before}\p{{Lu}}[\p{{M}}{HIDDEN}]*)\.(?=\s+[\p{{Lu}}{dot}])", f"$1{dot}"),
-        (rf"(?U)((?<![\p{{L}}\p{{N}}.,])\d{{1,2}}[{HIDDEN}]*)\.(?=\s+(?:{_loose(MONTHS)})(?![\p{{L}}]))", f"$1{dot}"),
+        (rf"(?U)\.(?=\s+[\p{{Lu}}{dot}]){before}\p{{Lu}}[\p{{M}}{HIDDEN}]{{0,3}}\.)", dot),
+        (rf"(?U)\.(?=\s+(?:{_loose(MONTHS)})(?!\p{{L}}))(?<=(?<![\p{{L}}\p{{N}}.,])\d{{1,2}}{few}\.)", dot),
         # a point or dots before a small letter
         (rf"(?U)\.(?=[{HIDDEN}]*[{CLOSERS}]*[{HIDDEN}]*\s+[{HIDDEN}]*\p{{Ll}})", dot),
         (rf"(?U)…(?=…*[{CLOSERS}]*[{HIDDEN}]*\s+[{HIDDEN}]*\p{{Ll}})", MASKS[3]),
@@ -96,12 +97,12 @@ def cut(text: Column) -> Column:
         (r"(?U)\n(?=[^\S\n]*\n)", f"\n{CUT}"),
         (rf"(?U)({LIST})(?=\n|\z)", f"{CUT}$1{CUT}"),
         # scripts whose marks need no blank
-        (rf"([。！？]+[”’」』）》】{HIDDEN}]*|(?<=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])…+[”’」』）》】{HIDDEN}]*)", f"$1{CUT}"),
+        (rf"((?:[。！？]+|…(?<=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}]…)…*)[”’」』）》】{HIDDEN}]*)", f"$1{CUT}"),
         (rf"(?U)([।॥։؟۔]+{closers})(?=\s)", f"$1{CUT}"),
         # the Greek question mark, where a Greek word came before it in the same clause
-        (rf"(?U)((?<=\p{{IsGreek}}{{2}}[^.!?…;;\n]{{0,300}})[;;]{closers})(?=\s)", f"$1{CUT}"),
+        (rf"(?U)([;;](?<=\p{{IsGreek}}{{2}}[^.!?…;;\n]{{0,300}}.){closers})(?=\s)", f"$1{CUT}"),
         (rf"(?U)([.!?…]+{closers})(?=\s)", f"$1{CUT}"),
-        (r"(?U)(?<=\p{IsThai}[" + HIDDEN + r"]{0,3})(\s+)(?=[" + HIDDEN + r"]*\p{IsThai})", f"{CUT}$1"),
+        (rf"(?U)(\p{{IsThai}}[{HIDDEN}]*)(\s+)(?=[{HIDDEN}]*\p{{IsThai}})", f"$1{CUT}$2"),
     ):
         t = F.regexp_replace(t, pattern, put)
     return t
