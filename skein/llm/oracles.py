@@ -1 +1,40 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL of the pN_ queries that SQL can express over whole tables.
+
+p1, p4 and p5 are similarity joins and p8 needs a tokenizer: they are held
+against brute force on small tables in tests/llm instead, as are p7 and p9.
+"""
+
+from __future__ import annotations
+
+REC = "rec AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY retrieved_at::TIMESTAMPTZ DESC) AS rn FROM astronomy_sample WHERE document_id IS NOT NULL) WHERE rn = 1)"
+W = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+_P2 = rf"""WITH {REC},
+t AS (SELECT document_id, text, regexp_extract_all(text, '[^{W}]+') AS w, length(regexp_replace(text, '[{W}]+', '', 'g')) AS visible, length(regexp_replace(text, '[{W}\p{{L}}\p{{N}}]+', '', 'g')) AS symbols,
+  list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[{W}]+', ''), '[{W}]+$', '')), lambda x: x <> '') AS ln FROM rec WHERE text IS NOT NULL),
+c AS (SELECT list(DISTINCT word) AS cw FROM common_words),
+s AS (SELECT document_id, len(w) AS n, visible::DOUBLE / len(w) AS mean, symbols::DOUBLE / visible AS sym, len(list_filter(ln, lambda x: x[-1:] IN ('.', '!', '?', '…', '"', '”', '’', ')', '»')))::DOUBLE / len(ln) AS ended,
+  len(list_filter(w, lambda x: list_contains(cw, regexp_replace(lower(x), '[^\p{{L}}]+', '', 'g'))))::DOUBLE / len(w) AS common FROM t, c WHERE len(w) > 0)
+SELECT document_id FROM s WHERE (n < 30)::INT + (mean < 3.5 OR mean > 8.0)::INT + (sym > 0.12)::INT + (ended < 0.25)::INT + (common < 0.15)::INT >= 2"""
+
+_LINES = rf"""WITH {REC},
+l AS (SELECT document_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM rec WHERE text IS NOT NULL),
+k AS (SELECT document_id, source, line_no::BIGINT AS line_no, regexp_replace(lower(line), '[^\p{{L}}]+', '', 'g') AS key FROM l),
+g AS (SELECT source, key, count(DISTINCT document_id) AS n FROM k WHERE length(key) >= 12 GROUP BY ALL),
+n AS (SELECT source, count(*) AS total FROM rec GROUP BY source),
+h AS (SELECT g.source, g.key FROM g JOIN n USING (source) WHERE g.n >= 4 AND g.n >= 0.02 * total)"""
+_P3 = f"{_LINES} SELECT document_id, line_no FROM k JOIN h USING (source, key)"
+_P3_CLEANED = rf"""{_LINES},
+x AS (SELECT l.document_id, l.line_no, l.line, h.key IS NOT NULL AS hit FROM l JOIN k ON k.document_id = l.document_id AND k.line_no = l.line_no LEFT JOIN h ON h.source = k.source AND h.key = k.key),
+o AS (SELECT document_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT hit), '') AS text, count(*) FILTER (hit) AS removed FROM x GROUP BY document_id)
+SELECT rec.document_id, o.text, coalesce(o.removed, 0) AS removed FROM rec LEFT JOIN o USING (document_id)"""
+
+_EDGES = rf"""{REC},
+r AS (SELECT document_id AS d, lower(trim(split)) AS s, nullif(lower(regexp_extract(dedup_cluster_id, '(?:^|[^0-9a-fA-F])([0-9a-fA-F]{{16}})(?:$|[^0-9a-fA-F])', 1)), '') AS c, source, source_record_id AS i FROM rec),
+star AS (SELECT r.d, m.root FROM r JOIN (SELECT c, min(d) AS root FROM r WHERE c IS NOT NULL GROUP BY c) m USING (c) UNION SELECT r.d, m.root FROM r JOIN (SELECT source, i, min(d) AS root FROM r WHERE source IS NOT NULL AND i IS NOT NULL GROUP BY ALL) m USING (source, i)),
+e AS (SELECT d AS a, root AS b FROM star UNION SELECT root, d FROM star),
+w AS (SELECT d AS a, d AS b FROM r UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a),
+comp AS (SELECT a AS d, min(b) AS root FROM w GROUP BY a)"""
+_P6 = f"WITH RECURSIVE {_EDGES} SELECT root AS group_id FROM comp JOIN r USING (d) WHERE s IN ('train', 'validation', 'test', 'probe', 'cloze_reserve') GROUP BY root HAVING count(DISTINCT s) > 1"
+
+ORACLES: dict[str, str] = {"p2_found": _P2, "p3_found": _P3, "p3_cleaned": _P3_CLEANED, "p6_found": _P6}
