@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -25,7 +26,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    one = lambda v: "null" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, float) or "float" in type(v).__name__ else str(v)
+    one = lambda v: "null" if v is None or pd.isna(v) else f"{float(v):.6f}" if isinstance(v, float) or "float" in type(v).__name__ else str(v)
     return sorted(tuple(one(v) for v in r) for r in df.astype(object).itertuples(index=False))
 
 
