@@ -169,3 +169,57 @@ def rate_schedule(spark: S, sf: str) -> D:
 def experiment_plan(spark: S, sf: str) -> D:
     t = lambda v, c: spark.createDataFrame([(x,) for x in v], c)
     return ST.experiment_plan(t(["4m", "10m", "29m"], "size string"), t([1, 2, 4, 8], "passes int"), t([0, 1, 2], "seed int"))
+
+
+_TYPES = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z]+'))"
+
+
+@query(
+    f"WITH {RECORDS_SQL}, p AS (SELECT document_id, title, text FROM rec WHERE lower(trim(split)) <> 'train'), c AS (SELECT title, max(document_id) AS sid FROM rec WHERE lower(trim(split)) = 'train' AND title IS NOT NULL GROUP BY title), "
+    f"j AS (SELECT p.document_id, p.title, c.sid, {_TYPES.format('p.text')} AS a, {_TYPES.format('r.text')} AS b, coalesce(r.is_representative, FALSE) AS ok FROM p LEFT JOIN c USING (title) LEFT JOIN rec r ON r.document_id = c.sid), "
+    "o AS (SELECT *, CASE WHEN sid IS NOT NULL THEN CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END END AS overlap FROM j) "
+    "SELECT document_id, title, sid AS sibling_id, round(overlap, 6) AS overlap, CASE WHEN sid IS NULL THEN 'missing' WHEN NOT ok THEN 'quality' WHEN overlap > 0.8 THEN 'overlap' ELSE 'accepted' END AS reason FROM o"
+)
+def sibling_audit(spark: S, sf: str) -> D:
+    """Held-out records and training records of the same title."""
+    r = records(spark, sf, "split", "title", "text", "is_representative")
+    out = probes.sibling_audit(r.where(split_name() != "train").select("document_id", "title", "text"), r.where(split_name() == "train").select("document_id", "title", "text", F.coalesce("is_representative", F.lit(False)).alias("accepted")))
+    return out.withColumn("overlap", F.round("overlap", 6))
+
+
+@query()
+def evaluation_bundle(spark: S, sf: str) -> D:
+    """Counts and digests of the held-out sets of records with at least 96 words, and of all together."""
+    r = records(spark, sf, "split", "text").where(X.word_count(F.col("text")) >= 96).select("document_id", split_name().alias("split"), F.sha2("text", 256).alias("sha256"))
+    return probes.bundle({s: r.where(F.col("split") == s) for s in ("validation", "test", "probe", "cloze_reserve")})
+
+
+@query()
+def sibling_similarity_summary(spark: S, sf: str) -> D:
+    """Similarities of edited siblings by their target."""
+    rows = records(spark, sf, "split", "text").where((split_name() == "validation") & F.col("text").rlike(r"(?U)(\S+\s+){40}"))
+    words = [w for w in X.FUNCTION_WORDS if len(w) > 3]
+    out = None
+    for name, target in (("B90", 0.9), ("B80", 0.8), ("B65", 0.65), ("B50", 0.5)):
+        s = probes.edited_siblings(rows.withColumn("target", F.lit(target)), "document_id", "text", "target", words, 17012).withColumn("group", F.lit(name))
+        out = s if out is None else out.union(s)
+    s = probes.similarity_summary(out, "group", "jaccard", "within_tolerance")
+    return s.select("group", "n", *(F.round(c, 6).alias(c) for c in ("least", "most", "mean")), "outside")
+
+
+@query(f"WITH {RECORDS_SQL} SELECT (SELECT count(*) FROM (SELECT title FROM rec INTERSECT SELECT title FROM category_listing)) AS both_sides, (SELECT count(*) FROM (SELECT title FROM rec UNION SELECT title FROM category_listing)) AS either, (SELECT count(*) FROM (SELECT title FROM rec EXCEPT SELECT title FROM category_listing)) AS records_only, (SELECT count(*) FROM (SELECT title FROM rec UNION ALL SELECT title FROM category_listing)) AS all_rows")
+def title_set_operations(spark: S, sf: str) -> D:
+    """Titles of records and of listings as sets and as bags."""
+    a, b = records(spark, sf, "title").select("title"), table(spark, sf, "category_listing").select("title")
+    n = lambda df, c: df.agg(F.count("*").alias(c))
+    parts = [n(a.intersect(b), "both_sides"), n(a.union(b).distinct(), "either"), n(a.subtract(b), "records_only"), n(a.unionByName(b), "all_rows")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))  # one row each
+    return out
+
+
+@query(f"WITH {RECORDS_SQL} SELECT count(*) AS n FROM (SELECT document_id FROM rec WHERE lower(trim(split)) = 'train' LIMIT 500)")
+def seeded_sample(spark: S, sf: str) -> D:
+    """500 training records, or all if there are fewer, the same in every run: how many there are."""
+    return probes.sampled(records(spark, sf, "split").where(split_name() == "train").select("document_id"), "document_id", 500, 17012).agg(F.count("*").alias("n"))

@@ -244,3 +244,16 @@ def test_streams(spark, tmp_path):
     assert sorted(r.document_id for r in once().collect()) == ["a", "b"]
     df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert sorted(r.document_id for r in once().collect()) == ["a", "b"]
+
+
+def test_siblings_and_bundles(spark):
+    p = spark.createDataFrame([("a", "T", "one two three"), ("b", "U", "x y"), ("c", None, "z"), ("d", "V", "q r s t"), ("e", "W", "same words here")], "document_id string, title string, text string")
+    s = spark.createDataFrame([("s1", "T", "old", True), ("s2", "T", "one four", True), ("s3", "U", "m n", False), ("s4", "W", "here same words", True)], "document_id string, title string, text string, accepted boolean")
+    got = {r.document_id: r for r in probes.sibling_audit(p, s).collect()}
+    assert {k: r.reason for k, r in got.items()} == {"a": "accepted", "b": "quality", "c": "missing", "d": "missing", "e": "overlap"}
+    assert got["a"].sibling_id == "s2" and got["a"].overlap == pytest.approx(0.25)
+    x = spark.createDataFrame([("a", "1"), ("b", "2")], "document_id string, sha256 string")
+    one = {r.section: r.digest for r in probes.bundle({"v": x, "t": x.limit(0)}).collect()}
+    again = {r.section: r.digest for r in probes.bundle({"v": x.orderBy(F.desc("document_id")), "t": x.limit(0)}).collect()}
+    other = {r.section: r.digest for r in probes.bundle({"v": x.withColumn("sha256", F.lit("3")), "t": x.limit(0)}).collect()}
+    assert one == again and one["v"] != other["v"] and set(one) == {"v", "all"}
