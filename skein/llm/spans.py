@@ -145,8 +145,12 @@ def candidate_pairs(texts: DataFrame, least: int) -> DataFrame:
     out = None
     for hot in (False, True) if (found >= limit).any() else (False,):
         rows = texts.select("class", "text").mapInArrow(_anchor_rows(least, levels, limit, hot), "h long, class long")
-        a, b = rows.select("h", F.col("class").alias("ka")), rows.select("h", F.col("class").alias("kb"))
-        pairs = a.join(b, "h").where("ka < kb").select("ka", "kb")
+        if hot:
+            a, b = rows.select("h", F.col("class").alias("ka")), rows.select("h", F.col("class").alias("kb"))
+            pairs = a.join(b, "h").where("ka < kb").select("ka", "kb")
+        else:  # a block has fewer than 2**limit texts: they meet in one row, so blocks are made and moved once
+            met = rows.repartition("h").groupBy("h").agg(F.collect_set("class").alias("l")).where("size(l) > 1")
+            pairs = met.select("l", F.explode("l").alias("ka")).select("ka", F.explode("l").alias("kb")).where("ka < kb")
         out = pairs if out is None else out.union(pairs)
     return out.distinct()
 
