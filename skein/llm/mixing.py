@@ -11,41 +11,16 @@ summed up in one task, and the final order is a range sort in the same way.
 
 from __future__ import annotations
 
-import base64
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.tokens import TOKENIZER, token_count
 from skein.storage import written
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Ranges of the shuffled order that are summed up first; a range of a source with 10**12 documents holds 10**8 / 1.6.
 RANGES = 1 << 14
-_encoding: dict = {}
-
-
-def _encoder(path: str):
-    if path not in _encoding:
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoding[path] = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoding[path]
-
-
-def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
-    """Tokens of a text by the ranks in a file that every executor has at this path; null counts 0."""
-
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        encode = _encoder(tokenizer).encode_ordinary
-        return texts.map(lambda t: len(encode(t)))
-
-    return F.coalesce(count(F.coalesce(text, F.lit(""))), F.lit(0).cast("long"))
 
 
 def _running(df: DataFrame, by: list[str], at: Column, order: list[Column], value: str, ranges: int = RANGES) -> DataFrame:
