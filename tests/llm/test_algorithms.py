@@ -375,3 +375,15 @@ def test_sentences_cover_every_character(spark):
 
 def test_normal_form():
     assert evalleak.normal("Ｗhy: “ﬁve” É 5½?") == "".join(c for c in unicodedata.normalize("NFKC", "Ｗhy: “ﬁve” É 5½?").lower() if c.isalnum())
+
+
+def test_bands_that_many_share_lose_no_pair(spark):
+    rng = random.Random(11)
+    base = words(rng, 60, 10**6)
+    texts = {f"v{i:03d}": " ".join([*base[:59], f"n{i}"]) for i in range(150)} | {f"o{i}": " ".join(words(rng, 40, 10**6)) for i in range(20)}
+    sets = {k: shingle_set(t) for k, t in texts.items()}
+    truth = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
+    made = corpus_of(table(spark, texts), "document_id", "text")
+    assert len(truth) == 150 * 149 // 2 and pairs(neardup.near_duplicate_pairs(made, 0.7)) == truth
+    groups = {r.group_id for r in neardup.near_duplicate_groups(made, 0.8).collect() if r.id[0] == "v"}
+    assert groups == {"v000"}
