@@ -5,10 +5,14 @@ chunks; the chunks are added up per chunk number and reduced to one byte a
 cell, the binary logarithm of its count. Whatever the corpus, the driver gets
 2**BITS bytes, and executors get the same by broadcast. A cell's count is at
 least the count of each of its keys.
+
+A filter of bounded size, of 2**MARK_BITS bits, two a key, is made in the same
+way. It has every key it was made of, and may seem to have others.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BITS, CHUNKS, FULL = 22, 64, 255
+MARK_BITS = 26
 
 
 def cells(h: np.ndarray) -> np.ndarray:
@@ -55,3 +60,37 @@ def hot_level(levels: np.ndarray, least: int = 8, above_mean: int = 3) -> int:
     """The bit length from which a cell counts as common: 2**(least - 1) occurrences, and well above the mean cell."""
     mean = float(np.mean(np.exp2(levels.astype(np.float64)) / 2)) if len(levels) else 0.0
     return max(least, int(mean).bit_length() + above_mean)
+
+
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> np.uint64(64 - MARK_BITS)).astype(np.int64), (h & np.uint64((1 << MARK_BITS) - 1)).astype(np.int64)
+
+
+def marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the filter may have each key; True for all that it was made of."""
+    a, b = ((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in _places(h))
+    return (a & b).astype(bool)
+
+
+def marks_of(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The filter of all keys of df, eight bits a cell."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+        for batch in batches:
+            for at in _places(hashes(batch)):
+                np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        if bits.any():
+            parts = bits.reshape(CHUNKS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["chunk", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        total = np.zeros((1 << (MARK_BITS - 3)) // CHUNKS, np.uint8)
+        for x in table["bits"]:
+            total |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    out = np.zeros((CHUNKS, (1 << (MARK_BITS - 3)) // CHUNKS), np.uint8)
+    for r in df.mapInArrow(mark, "chunk int, bits binary").groupBy("chunk").applyInArrow(join, "chunk int, bits binary").collect():
+        out[r.chunk] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return out.reshape(-1)

@@ -9,14 +9,19 @@ each pair met often enough, the common runs are the seeds, which are chained
 where they run alike in both texts and extended word by word into aligned
 stretches; the five-word sets are compared exactly.
 
-How often is enough follows from the share asked for. An edit inside a text
-breaks at least four runs, so of n runs with a share s kept, the kept ones lie
-in at most floor((1 - s) n) // 4 + 1 stretches and hold at least
-s n - 5 * stretches whole windows. Windows of nothing but common runs (stock
-phrases, notices) are taken off; each fingerprint accounts for at most six of
-the rest. Only records where nothing remains are joined on their common
-fingerprints as well, so that no pair is lost and no stock phrase has to be
-paired for all.
+How often is enough follows from the share asked for. Of d distinct runs at
+most l = floor((1 - s) d) may be missing. Only windows whose runs all come once
+in the record count: an edit among them breaks at least four runs, each of
+which is then missing, so at most l + 5 * (l // 4) of these windows are lost (an
+edit that touches a repeated run loses no more windows than it breaks runs that
+come once). Windows of nothing but common runs (stock phrases, notices) are
+taken off; each fingerprint accounts for at most six of the rest.
+
+Where nothing remains, because a record repeats itself or is made of stock
+phrases, it is joined on runs instead, which needs no such argument: of its
+l + k rarest runs at least k are in every training record that has the share.
+Training records hand on every run that may be one of these, by a filter of
+bounded size. So no pair is lost and no stock phrase has to be paired for all.
 """
 
 from __future__ import annotations
@@ -30,44 +35,87 @@ from pyspark.sql import functions as F
 
 from skein.llm import textarrays as ta
 from skein.llm.classes import Corpus
-from skein.llm.sketch import cells, frequency_levels, hot_level
+from skein.llm.sketch import cells, frequency_levels, hot_level, marked, marks_of
+from skein.storage import written
 
 WORDS, WINDOW, LEAST_WORDS = 5, 6, 20
 #: Runs in a cell of 64 occurrences or more, and well above the mean cell, are common.
 COMMON = 7
+#: The most runs that a pair joined on runs must share, as far as they are rare.
+MORE_RUNS = 4
 TRAIN, EVALUATION = "train", ("validation", "test", "probe", "cloze_reserve")
 
 
-def fingerprints(texts: list[str], levels: np.ndarray, common: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, hash and commonness of the fingerprints of all texts with enough words, and for each text how many rare ones a pair must share (below 1: rare ones don't suffice)."""
+def fingerprints(texts: list[str], levels: np.ndarray, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of the fingerprints, and of the marked runs, of all texts with enough words."""
     text, h, counts, _ = ta.shingles(texts, WORDS)
-    n = np.maximum(counts - WORDS + 1, 0)
     if len(h) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool), np.zeros(len(texts), np.int64)
-    level = levels[cells(h)]
-    order = (level.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-    low = ta.sliding(level, WINDOW, np.minimum)
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    pick = ta.selected(_order(h, levels), WINDOW)
+    if marks is not None:
+        pick |= marked(marks, h)
+    pick &= counts[text] >= LEAST_WORDS
+    return ta.distinct(text[pick], h[pick])
+
+
+def _order(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return (levels[cells(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+
+
+def _repeated(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For every run, whether its text has it more than once."""
+    order = np.lexsort((h, text))
+    same = (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])
+    out = np.zeros(len(h), bool)
+    out[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    return out
+
+
+def evaluation_keys(texts: list[str], levels: np.ndarray, common: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and hash of the keys that evaluation texts are found by, for each text how many a pair must share, and whether its keys are its rarest runs."""
+    text, h, counts, _ = ta.shingles(texts, WORDS)
+    if len(h) < WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+    each, run = ta.distinct(text, h)
+    size = np.bincount(each, minlength=len(texts))
+    lost = np.floor((1 - least) * size + 1e-9).astype(np.int64)
+    broken = lost + (WINDOW - 1) * (lost // 4)
+    low = ta.sliding(levels[cells(h)], WINDOW, np.minimum)
     first, last = text[: len(low)], text[WINDOW - 1 :]
-    off = np.bincount(first[(first == last) & (low >= common)], minlength=len(texts))
-    lost = np.floor((1 - least) * n + 1e-9).astype(np.int64)
-    windows = n - lost - (WINDOW - 1) * (lost // 4 + 1) - off
-    pick = ta.selected(order, WINDOW) & (counts[text] >= LEAST_WORDS)
-    text, h = ta.distinct(text[pick], h[pick])
-    return text, h, levels[cells(h)] >= common, np.ceil(windows / WINDOW).astype(np.int64)
+    once = (first == last) & ~ta.sliding(_repeated(text, h), WINDOW, np.logical_or)
+    need = np.ceil((np.bincount(first[once & (low < common)], minlength=len(texts)) - broken) / WINDOW).astype(np.int64)
+    by_runs = need < 1
+    rare = np.bincount(each[levels[cells(run)] < common], minlength=len(texts))
+    need = np.where(by_runs, np.clip(rare - lost, 1, MORE_RUNS), need)
+    t, f = fingerprints(texts, levels)
+    keep = ~by_runs[t] & (levels[cells(f)] < common)
+    order = np.lexsort((_order(run, levels), each))
+    each, run = each[order], run[order]
+    rank = np.arange(len(each)) - (np.cumsum(size) - size)[each]
+    rarest = by_runs[each] & (rank < (lost + need)[each]) & (counts[each] >= LEAST_WORDS)
+    return np.concatenate((t[keep], each[rarest])), np.concatenate((f[keep], run[rarest])), need, by_runs
+
+
+def _evaluation_rows(levels, common: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keys = batch["text"].to_pylist(), batch["class"].to_numpy()
+            for at in range(0, len(texts), 128):
+                text, h, need, by_runs = evaluation_keys(texts[at : at + 128], levels.value, common, least)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[at + text]), pa.array(need[text]), pa.array(by_runs[text])], names=["h", "class", "need", "by_runs"])
+
+    return run
 
 
-def _fingerprint_rows(levels, common: int, least: float, evaluation: bool):
+def _training_rows(levels, marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = batch["text"].to_pylist(), batch["class"].to_numpy()
             for at in range(0, len(texts), 128):
-                text, h, often, need = fingerprints(texts[at : at + 128], levels.value, common, least)
-                if evaluation:
-                    keep = ~often | (need[text] < 1)
-                    text, h = text[keep], h[keep]
+                text, h = fingerprints(texts[at : at + 128], levels.value, marks.value)
                 if len(h):
-                    columns = [pa.array(h.view(np.int64)), pa.array(keys[at + text])]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.maximum(need[text], 1))], names=["h", "class", "need"]) if evaluation else pa.RecordBatch.from_arrays(columns, names=["h", "class"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[at + text])], names=["h", "class"])
 
     return run
 
@@ -132,8 +180,8 @@ def leaking_pairs(corpus: Corpus, least: float = 0.7) -> DataFrame:
     of one class and all come out. An empty side gives an empty result.
     """
     members = corpus.members.where("class is not null").select("id", "class", "split")
-    side = lambda names: members.where(F.col("split").isin(*names)).select("class").distinct()
-    texts = corpus.texts
+    sides = members.groupBy("class").agg(F.bool_or(F.col("split").isin(*EVALUATION)).alias("e"), F.bool_or(F.col("split") == TRAIN).alias("t")).where("e or t")
+    texts = written(corpus.texts.join(sides, "class"))
 
     def runs(batch: pa.RecordBatch) -> np.ndarray:
         part = batch["text"].to_pylist()
@@ -141,9 +189,11 @@ def leaking_pairs(corpus: Corpus, least: float = 0.7) -> DataFrame:
 
     found = frequency_levels(texts.select("text"), runs)
     common, levels = hot_level(found, COMMON, 3), texts.sparkSession.sparkContext.broadcast(found)
-    e_text, t_text = texts.join(side(EVALUATION), "class", "left_semi"), texts.join(side([TRAIN]), "class", "left_semi")
-    e = e_text.mapInArrow(_fingerprint_rows(levels, common, least, True), "h long, class long, need long").withColumnRenamed("class", "ke")
-    t = t_text.mapInArrow(_fingerprint_rows(levels, common, least, False), "h long, class long").withColumnRenamed("class", "kt")
+    e_text, t_text = texts.where("e").select("class", "text"), texts.where("t").select("class", "text")
+    keys = written(e_text.mapInArrow(_evaluation_rows(levels, common, least), "h long, class long, need long, by_runs boolean"))
+    marks = texts.sparkSession.sparkContext.broadcast(marks_of(keys.where("by_runs").select("h"), lambda batch: batch["h"].to_numpy().view(np.uint64)))
+    e = keys.drop("by_runs").withColumnRenamed("class", "ke")
+    t = t_text.mapInArrow(_training_rows(levels, marks), "h long, class long").withColumnRenamed("class", "kt")
     met = e.join(t, "h").groupBy("ke", "kt").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("ke", "kt")
     full = met.join(e_text.select(F.col("class").alias("ke"), F.col("text").alias("te")), "ke").join(t_text.select(F.col("class").alias("kt"), F.col("text").alias("tt")), "kt")
     links = full.mapInArrow(_compare(least), "ke long, kt long, share double, aligned_words long, eval_words long")

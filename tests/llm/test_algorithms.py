@@ -165,6 +165,28 @@ def test_split_leaks(spark):
     assert sum(r.pairs for r in report) == len(truth)
 
 
+def test_split_leaks_of_repeated_passages(spark):
+    rng = random.Random(11)
+    texts, split = {}, {}
+    for k, (size, times) in enumerate(((30, 8), (60, 6), (100, 8), (40, 5), (200, 8), (50, 3), (50, 2))):
+        passage = words(rng, size, 10**6)
+        lead = words(rng, 40, 10**6)
+        texts[f"e{k}"] = " ".join(lead + passage * times)
+        texts[f"t{k}"] = texts[f"e{k}"] + " one more"
+        edited = []  # every copy edited every eight words, elsewhere in each
+        for c in range(times):
+            edited += [w if (i + c) % 8 else f"x{k}" for i, w in enumerate(passage)]
+        texts[f"s{k}"] = " ".join(lead + edited)
+        texts[f"o{k}"] = " ".join(lead + passage)
+        split |= {f"e{k}": "test", f"t{k}": "train", f"s{k}": "train", f"o{k}": "train"}
+    made = corpus_of(table(spark, texts, split), "document_id", "text", extra={"split": F.col("split")})
+    sets = {k: shingle_set(t) for k, t in texts.items()}
+    truth = {(e, t) for e in sets for t in sets if split[e] == "test" and split[t] == "train" and len(sets[e] & sets[t]) / len(sets[e]) >= 0.7}
+    assert {("e0", "t0"), ("e2", "s2"), ("e4", "t4")} <= truth
+    rows = splitleak.leaking_pairs(made).collect()
+    assert {(r.eval_id, r.train_id) for r in rows} == truth and len(rows) == len(truth)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     made = corpus_of(empty, "document_id", "text", extra={"split": F.col("split")})
