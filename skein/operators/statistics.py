@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 LN2 = math.log(2)
 RANGES = 4096
+RESAMPLES = 10_000
 
 
 def metric_block(df: DataFrame, by: list[str], nll: str = "nll_nats", tokens: str = "tokens", size: str = "utf8_bytes") -> DataFrame:
@@ -114,7 +115,7 @@ def lower_percentile(sorted_values: Column, share: float) -> Column:
     return F.get(sorted_values, F.floor(F.lit(share) * (F.size(sorted_values) - 1)).cast("int"))
 
 
-def bootstrap_sums(df: DataFrame, cluster: str, values: list[str], resamples: int = 1000, seed: int = 17012) -> DataFrame:
+def bootstrap_sums(df: DataFrame, cluster: str, values: list[str], resamples: int = RESAMPLES, seed: int = 17012) -> DataFrame:
     """(resample, <values>): weighted sums over clusters for every resample.
 
     Rows are summed per cluster first. Every cluster then takes part in every

@@ -159,3 +159,10 @@ def test_tokens_round_trip(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", "x", K.token_ids(F.col("x")).alias("ids"), K.token_count(F.col("x")).alias("n"))
     rows = df.withColumn("back", K.token_text(F.col("ids"))).orderBy("i").collect()
     assert [r.back for r in rows] == texts and [r.n for r in rows] == [len(r.ids or []) for r in rows]
+
+
+def test_bootstrap_takes_ten_thousand_resamples(spark):
+    rows = spark.createDataFrame([(f"c{i}", 1.0 + i % 3, 2.0) for i in range(40)], "c string, a double, b double")
+    draws = ST.bootstrap_sums(rows, "c", ["a", "b"]).withColumn("gain", F.col("a") / F.col("b"))
+    assert draws.agg(F.count("*"), F.countDistinct("resample")).first()[:] == (10_000, 10_000)
+    assert ST.one_sided_p(draws, "gain", 0.0).first().p == 1 / 10_001
