@@ -85,6 +85,34 @@ def paired_benefits(a: DataFrame, b: DataFrame, key: list[str], group: str, valu
     return out.where(F.col(group) != base).select(group, "n", benefit.alias("benefit"), (benefit / F.nullif(F.col("c") - F.col("z"), F.lit(0.0))).alias("tau"))
 
 
+def tau_bootstrap(a: DataFrame, b: DataFrame, key: list[str], group: str, value: str, base: str = "Z", unit: str = "C", resamples: int = RESAMPLES, seed: int = 17012) -> DataFrame:
+    """(group, draws, low, high): the interval of tau when rows are resampled within their group; draws without a tau are left out.
+
+    As in bootstrap_sums, every row takes part a Poisson(1) number of times,
+    drawn from its own generator, and means are over the rows of a resample.
+    """
+    rows = a.select(*key, group, F.col(value).alias("va")).join(b.select(*key, F.col(value).alias("vb")), key)
+    keyed = rows.select(F.shiftrightunsigned(F.xxhash64(*(F.col(k).cast("string") for k in key)), 1).alias("__key"), F.col(group).cast("string").alias("g"), (F.col("va") - F.col("vb")).alias("drop")).where("drop is not null and g is not null")
+
+    def run(batches):
+        total = {}
+        for pdf in batches:
+            for k, g, drop in zip(pdf["__key"], pdf["g"], pdf["drop"]):
+                t = total.setdefault(g, np.zeros((2, resamples)))
+                times = np.random.Generator(np.random.PCG64([seed, int(k)])).poisson(1.0, resamples)
+                t[0] += times * drop
+                t[1] += times
+        for g, t in total.items():
+            yield pd.DataFrame({"g": g, "resample": np.arange(resamples), "s": t[0], "n": t[1]})
+
+    means = keyed.mapInPandas(run, "g string, resample long, s double, n double").groupBy("resample", "g").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("mean"))
+    one = F.collect_list(F.struct("g", "mean"))
+    pick = lambda name: F.max(F.when(F.col("g") == name, F.col("mean")))
+    draws = means.groupBy("resample").agg(one.alias("m"), pick(base).alias("z"), pick(unit).alias("c")).select("z", "c", F.inline("m"))
+    tau = draws.where(F.col("g") != base).select(F.col("g").alias(group), ((F.col("mean") - F.col("z")) / F.nullif(F.col("c") - F.col("z"), F.lit(0.0))).alias("tau")).where("tau is not null")
+    return tau.groupBy(group).agg(F.count("*").alias("draws"), F.percentile("tau", 0.025).alias("low"), F.percentile("tau", 0.975).alias("high"))
+
+
 def leave_one_out_slopes(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """(group, slope, predicted, observed): for each group the slope without intercept of the others, and its own means."""
     s = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(group).agg(F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
@@ -110,6 +138,36 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, tie: str) -> DataFram
     return r.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
+def spearman_permutation(df: DataFrame, by: list[str], x: str, y: str, tie: str, resamples: int = RESAMPLES, seed: int = 17012) -> DataFrame:
+    """(by, n, rho, p): as spearman, with the share of permutations of y whose rho is at least as great, one added to both counts.
+
+    A group is held by one task, so it is for tables of cells or runs. Fewer than two rows, or no rank to compare, have null rho and p.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__tie")
+        rx, ry = (np.argsort(np.argsort(pdf[c].to_numpy(), kind="stable"), kind="stable").astype(float) for c in ("__x", "__y"))
+        n = len(rx)
+        rho = p = None
+        if n > 1:
+            rx, ry = rx - rx.mean(), ry - ry.mean()
+            scale = np.sqrt((rx @ rx) * (ry @ ry))
+            rng = np.random.Generator(np.random.PCG64(seed))
+            null = np.array([rx @ rng.permutation(ry) for _ in range(resamples)])
+            rho, p = float(rx @ ry / scale), float((np.sum(null >= rx @ ry - 1e-9) + 1) / (resamples + 1))  # ranks are halves: sums are exact
+        return pd.DataFrame({**{b: pdf[b].iloc[:1].to_numpy() for b in by}, "n": [n], "rho": [rho], "p": [p]})
+
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.col(tie).cast("string").alias("__tie"))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema.fields)
+    return rows.groupBy(*by).applyInPandas(run, f"{kinds}n long, rho double, p double")
+
+
+def extractability(df: DataFrame, by: list[str], extracted: str) -> DataFrame:
+    """(by, eligible, extracted, rate) of given outcomes of greedy decoding; null outcomes (too short to decode) aren't eligible."""
+    s = df.groupBy(*by).agg(F.count(extracted).alias("eligible"), F.count_if(F.coalesce(extracted, F.lit(False))).alias("extracted"))
+    return s.withColumn("rate", F.col("extracted") / F.nullif("eligible", F.lit(0)))
+
+
 def lower_percentile(sorted_values: Column, share: float) -> Column:
     """The value at the floor of share * (n - 1) of a sorted array."""
     return F.get(sorted_values, F.floor(F.lit(share) * (F.size(sorted_values) - 1)).cast("int"))

@@ -67,6 +67,16 @@ def did_benefit(spark: S, sf: str) -> D:
     return d.select("probe_group", "n", F.round("benefit", 6).alias("benefit"), F.round("tau", 6).alias("tau"))
 
 
+@query()
+def tau_intervals(spark: S, sf: str) -> D:
+    """Interval of each probe group's tau, documents resampled within groups."""
+    u = audits(spark, sf)
+    a = u.where("arm = 'm0' and probe_group is not null").groupBy("document_id", "probe_group").agg(F.avg("bpb").alias("v"))
+    b = u.where("arm = 'm1'").groupBy("document_id").agg(F.avg("bpb").alias("v"))
+    t = ST.tau_bootstrap(a, b, ["document_id"], "probe_group", "v")
+    return t.select("probe_group", "draws", *(F.round(c, 6).alias(c) for c in ("low", "high")))
+
+
 @query(f"WITH {ROWS_SQL}, {RECORDS_SQL} SELECT coalesce(nullif(lower(regexp_extract(r.dedup_cluster_id, '[0-9a-fA-F]{{16}}')), ''), u.document_id) AS cluster, round(sum(nll_nats), 3) AS nll, sum(utf8_bytes)::BIGINT AS bytes FROM u JOIN rec r USING (document_id) WHERE nll_nats IS NOT NULL GROUP BY 1")
 def cluster_sums(spark: S, sf: str) -> D:
     rows = _clustered(spark, sf)
@@ -139,6 +149,13 @@ def spearman_tokens_bpb(spark: S, sf: str) -> D:
     return ST.spearman(audits(spark, sf), ["size"], "tokens", "bpb", "audit_row_id").withColumn("rho", F.round("rho", 6))
 
 
+@query()
+def spearman_passes_bpb(spark: S, sf: str) -> D:
+    """Rank correlation of passes and bits per byte over the runs of a size, with its permutation p."""
+    s = ST.spearman_permutation(_runs(spark, sf), ["size"], "passes", "bpb", "run_name")
+    return s.select("size", "n", *(F.round(c, 6).alias(c) for c in ("rho", "p")))
+
+
 _X = "CASE probe_group WHEN 'C' THEN 1.0 WHEN 'B90' THEN 0.9 WHEN 'B80' THEN 0.8 WHEN 'B65' THEN 0.65 WHEN 'B50' THEN 0.5 END"
 
 

@@ -143,11 +143,47 @@ def edited_siblings(spark: S, sf: str) -> D:
     return made.select(F.concat(F.lit("sib_"), "id").alias("sibling_id"), F.round("jaccard", 6).alias("jaccard"), "substitutions", "within_tolerance")
 
 
+def _canaries(spark: S, sf: str) -> D:
+    vocabulary = [r.word for r in probes.vocabulary(SplitReader(records(spark, sf, "split", "text").where("text is not null")).training_texts(), 20).orderBy(F.desc("n"), "word").limit(2000).collect()]
+    return probes.canary_copies(probes.canaries(spark, sorted(vocabulary), [1, 4, 16], 8, 99, 32, 17012))
+
+
 @query()
 def canary_copies(spark: S, sf: str) -> D:
     """Inserted canaries as often as their multiplicity says, of words that training texts have."""
-    vocabulary = [r.word for r in probes.vocabulary(SplitReader(records(spark, sf, "split", "text").where("text is not null")).training_texts(), 20).orderBy(F.desc("n"), "word").limit(2000).collect()]
-    return probes.canary_copies(probes.canaries(spark, sorted(vocabulary), [1, 4, 16], 8, 99, 32, 17012)).select("canary_id", "copy")
+    return _canaries(spark, sf).select("canary_id", "copy")
+
+
+@query()
+def sibling_sets(spark: S, sf: str) -> D:
+    """Siblings of probe records by group: exact copies, accepted training records of the same title, and edits."""
+    r = records(spark, sf, "split", "title", "text", "is_representative").where("text is not null")
+    held = written(r.where((split_name() == "probe") & F.col("text").rlike(r"(?U)(\S+\s+){20}")).select("document_id", "title", "text"))
+    train = written(r.where(split_name() == "train").select("document_id", "title", "text", F.coalesce("is_representative", F.lit(False)).alias("accepted")))
+    audit = written(probes.sibling_audit(held, train).select("document_id", "sibling_id", (F.col("reason") == "accepted").alias("sib")))
+    groups = probes.deal_groups(audit, "document_id", "sib", 500, 5, 17012).join(held.select(F.col("document_id").alias("id"), "text"), "id")
+    matches = audit.where("sib").select(F.col("document_id").alias("id"), F.col("sibling_id").alias("s")).join(train.select(F.col("document_id").alias("s"), "text"), "s")
+    made = probes.sibling_sets(groups, matches, [w for w in X.FUNCTION_WORDS if len(w) > 3], 17012)
+    return made.select("sibling_id", "document_id", "group", "source", F.sha2("text", 256).alias("sha256"), F.round("jaccard", 6).alias("jaccard"), "substitutions", "within_tolerance")
+
+
+@query()
+def canary_positions(spark: S, sf: str) -> D:
+    """Where canary copies stand in the shuffled training documents."""
+    train = records(spark, sf, "split", "text").where((split_name() == "train") & F.col("text").isNotNull()).select(F.col("document_id").alias("id"), "text")
+    made = probes.packing_order(train, _canaries(spark, sf), 17012)
+    return made.where(F.col("id").startswith("canary_")).select("id", "position")
+
+
+@query()
+def fraction_subsets(spark: S, sf: str) -> D:
+    """Count and digest of a quarter and an eighth of the training documents."""
+    train = written(records(spark, sf, "split", "text").where((split_name() == "train") & F.col("text").isNotNull()).select(F.col("document_id").alias("id")))
+    out = None
+    for f in (4, 8):
+        d = probes.set_digest(probes.fraction_subset(train, f, 17012), "id").withColumn("fraction", F.lit(f))
+        out = d if out is None else out.union(d)
+    return out
 
 
 @query()

@@ -257,3 +257,25 @@ def test_siblings_and_bundles(spark):
     again = {r.section: r.digest for r in probes.bundle({"v": x.orderBy(F.desc("document_id")), "t": x.limit(0)}).collect()}
     other = {r.section: r.digest for r in probes.bundle({"v": x.withColumn("sha256", F.lit("3")), "t": x.limit(0)}).collect()}
     assert one == again and one["v"] != other["v"] and set(one) == {"v", "all"}
+
+
+def test_siblings_of_every_group(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    groups = ("A", "C", "B90", "B50", "Z", "spare")
+    assigned = spark.createDataFrame([(f"d{g}", g, text) for g in groups], "id string, group string, text string")
+    got = {r.group: r for r in probes.sibling_sets(assigned, spark.createDataFrame([("dA", "a match")], "id string, text string"), ["there", "which"], 1).collect()}
+    assert set(got) == {"A", "C", "B90", "B50"} and got["B90"].sibling_id == "sib_b90_dB90"
+    assert (got["A"].text, got["C"].text, got["C"].jaccard) == ("a match", text, 1.0)
+    assert got["B90"].within_tolerance and abs(got["B90"].jaccard - 0.9) <= 0.02 and got["B50"].text != text
+
+
+def test_copies_among_shuffled_documents_and_fractions(spark):
+    docs = spark.createDataFrame([(f"d{i:03d}", "t") for i in range(100)], "id string, text string")
+    copies = spark.createDataFrame([("canary_m04_000", "c", k) for k in (1, 2, 3, 4)], "canary_id string, text string, copy int")
+    rows = sorted((r.position, r.id) for r in probes.packing_order(docs, copies, 7).collect())
+    assert [p for p, _ in rows] == list(range(104)) and sum(i.startswith("canary_m04_000_copy0") for _, i in rows) == 4
+    alone = [i for _, i in sorted((r.position, r.id) for r in probes.packing_order(docs, copies.limit(0), 7).collect())]
+    assert [i for _, i in rows if i[0] == "d"] == alone != sorted(alone)
+    assert {r.id for r in probes.fraction_subset(docs, 4, 7).collect()} == set(alone[:25])
+    assert {r.id for r in probes.fraction_subset(docs, 8, 7).collect()} == set(alone[:12])
+    assert probes.fraction_subset(docs.limit(3), 8, 7).count() == 1

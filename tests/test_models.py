@@ -166,3 +166,30 @@ def test_bootstrap_takes_ten_thousand_resamples(spark):
     draws = ST.bootstrap_sums(rows, "c", ["a", "b"]).withColumn("gain", F.col("a") / F.col("b"))
     assert draws.agg(F.count("*"), F.countDistinct("resample")).first()[:] == (10_000, 10_000)
     assert ST.one_sided_p(draws, "gain", 0.0).first().p == 1 / 10_001
+
+
+def test_tau_interval_holds_the_point_and_narrows(spark):
+    rng = random.Random(3)
+    drop = {"Z": 0.0, "C": 1.0, "B50": 0.5}
+    rows = [(f"{g}{i}", g, 5 + d + rng.gauss(0, 0.2), 5.0) for g, d in drop.items() for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, g string, x double, y double")
+    a, b = df.select("k", "g", F.col("x").alias("v")), df.select("k", F.col("y").alias("v"))
+    got = {r.g: r for r in ST.tau_bootstrap(a, b, ["k"], "g", "v").collect()}
+    point = {r.g: r.tau for r in ST.paired_benefits(a, b, ["k"], "g", "v").collect()}
+    assert set(got) == {"C", "B50"} and got["B50"].draws == 10_000
+    assert got["C"].low == got["C"].high == 1.0
+    assert got["B50"].low < point["B50"] < got["B50"].high and 0.02 < got["B50"].high - got["B50"].low < 0.12
+
+
+def test_permutation_p_of_spearman(spark):
+    rows = [("up", i, i * i) for i in range(9)] + [("down", i, -i) for i in range(9)] + [("four", i, y) for i, y in enumerate((1, 0, 3, 2))] + [("one", 1, 1)]
+    df = spark.createDataFrame(rows, "g string, x int, y int")
+    got = {r.g: r for r in ST.spearman_permutation(df, ["g"], "x", "y", "x").collect()}
+    assert got["up"].rho == pytest.approx(1) and got["up"].p < 0.001 and got["down"].p == 1
+    assert got["four"].rho == pytest.approx(0.6) and got["four"].p == pytest.approx(5 / 24, abs=0.02)  # 5 of 24 orders reach 0.6
+    assert got["one"].rho is None and got["one"].p is None
+
+
+def test_extractability(spark):
+    df = spark.createDataFrame([("a", True), ("a", False), ("a", None), ("b", None)], "r string, x boolean")
+    assert {tuple(r) for r in ST.extractability(df, ["r"], "x").collect()} == {("a", 2, 1, 0.5), ("b", 0, 0, None)}
