@@ -46,3 +46,10 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 6
+
+
+def test_order_sweep_goes_up_to_six(spark):
+    got = {r.order: r for r in entry.queries()["kneser_ney_order_sweep"](spark, FOLDER).collect()}
+    assert sorted(got) == [3, 4, 5, 6] and len({r.targets for r in got.values()}) == 1
+    five = entry.queries()["kneser_ney_registered_nll"](spark, FOLDER).agg({"nll": "sum"}).first()[0]
+    assert five == pytest.approx(got[5].nll, abs=0.01)
