@@ -45,18 +45,18 @@ def _mask(piece: Column) -> Column:
 
 
 _line = r"[^\n]*"
-_run = lambda close: rf"(?:[^{close}\n]|\n(?!\s*?\n))"  # noqa: E731  a run inside one paragraph
+_run = lambda close: rf"(?:[^{close}\n]++|\n(?!\s*?\n))++"  # noqa: E731  a run inside one paragraph; possessive, so that long ones need neither stack nor a second look
 QUOTED = "|".join(
     [
-        rf"“{_run('”“')}{{1,600}}”",
-        rf"„{_run('“”„')}{{1,600}}[“”]",
-        rf"«{_run('»«')}{{1,600}}»",
-        rf"「{_run('」「')}{{1,600}}」",
-        rf"『{_run('』『')}{{1,600}}』",
-        rf'(?<![\p{{L}}\p{{N}}])"(?=\S){_run(chr(34))}{{1,600}}(?<=\S)"(?![\p{{L}}\p{{N}}])',
-        rf"\({_run('()')}{{1,600}}\)",
-        rf"（{_run('（）')}{{1,600}}）",
-        rf"\[{_run('\\[\\]')}{{1,600}}\]",
+        rf"“{_run('”“')}”",
+        rf"„{_run('“”„')}[“”]",
+        rf"«{_run('»«')}»",
+        rf"「{_run('」「')}」",
+        rf"『{_run('』『')}』",
+        rf'(?<![\p{{L}}\p{{N}}])"(?=\S){_run(chr(34))}(?<=\S)"(?![\p{{L}}\p{{N}}])',
+        rf"\({_run('()')}\)",
+        rf"（{_run('（）')}）",
+        rf"\[{_run('\\[\\]')}\]",
     ]
 )
 LIST = r"(?<=\n|^)[^\S\n]*(?:[•*]|(?<!\([^()\n]{0,80}\n[^\S\n]{0,8})\d{1,9}\))(?=\s)[^\n]*"

@@ -409,3 +409,16 @@ def test_bands_that_many_share_lose_no_pair(spark):
     assert len(truth) == 150 * 149 // 2 and pairs(neardup.near_duplicate_pairs(made, 0.7)) == truth
     groups = {r.group_id for r in neardup.near_duplicate_groups(made, 0.8).collect() if r.id[0] == "v"}
     assert groups == {"v000"}
+
+
+def test_long_quotations_stay_whole(spark):
+    inner = "One is here. Two is there! " * 40
+    texts = [f"{a}{inner.strip()} End{b} he said. Then more came." for a, b in ("“”", "„“", "«»", "「」", "『』", '""', "()", "（）", "[]")]
+    texts += ["A ( " + "word. " * 50_000 + "\n" + ")x. Last one.", "An open (one. Two.\n\nThree) four."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sentences.sentence_units(df, keep_text=True).collect():
+        got.setdefault(r.id, []).append((r.start_pos, r.unit))
+    for i in range(10):
+        assert len(got[i]) == 2, (i, sorted(got[i])[0])
+    assert [u for _, u in sorted(got[10])] == ["An open (one.", "Two.", "Three) four."]
