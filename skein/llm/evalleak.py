@@ -85,11 +85,9 @@ def leaks_in(text: str, items: list[tuple[int, str]], made, least: int = LEAST)
 def _scan(shared, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        key = (id(items), least)
-        if key not in _built:
-            _built.clear()
-            _built[key] = automaton(items, least)
-        made = _built[key]
+        if _built.get("items") is not items or _built.get("least") != least:
+            _built.update(items=items, least=least, made=automaton(items, least))  # the items stay alive as long as their automaton
+        made = _built["made"]
         for batch in batches:
             out = []
             for i, (doc, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())):

@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -422,3 +423,18 @@ def test_long_quotations_stay_whole(spark):
     for i in range(10):
         assert len(got[i]) == 2, (i, sorted(got[i])[0])
     assert [u for _, u in sorted(got[10])] == ["An open (one.", "Two.", "Three) four."]
+
+
+def test_every_block_of_items_has_its_automaton():
+    class Shared:
+        pass
+
+    found = 0
+    for n in range(300):  # a list that is freed leaves its address to the next
+        form = f"item{n:04d}" * 10
+        shared = Shared()
+        shared.value = [(n, form)]
+        batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([form])], names=["doc_id", "text"])
+        found += sum(b["item_id"].to_pylist() == [n] for b in evalleak._scan(shared, 48)(iter([batch])))
+        del shared
+    assert found == 300
