@@ -152,7 +152,7 @@ def edited_siblings(spark: S, sf: str) -> D:
 
 
 def _canaries(spark: S, sf: str) -> D:
-    vocabulary = [r.word for r in probes.vocabulary(SplitReader(records(spark, sf, "split", "text").where("text is not null")).training_texts(), 20).orderBy(F.desc("n"), "word").limit(2000).collect()]
+    vocabulary = [r.word for r in probes.vocabulary(SplitReader(records(spark, sf, "split", "text").where("text is not null")).training_texts(), 20).select("word").collect()]
     return probes.canary_copies(probes.canaries(spark, sorted(vocabulary), [1, 4, 16], 8, 99, 32, 17012))
 
 

@@ -53,3 +53,13 @@ def test_order_sweep_goes_up_to_six(spark):
     assert sorted(got) == [3, 4, 5, 6] and len({r.targets for r in got.values()}) == 1
     five = entry.queries()["kneser_ney_registered_nll"](spark, FOLDER).agg({"nll": "sum"}).first()[0]
     assert five == pytest.approx(got[5].nll, abs=0.01)
+
+
+def test_canary_words_come_from_the_whole_vocabulary(spark, monkeypatch):
+    from skein.operators import probes
+
+    words, seen, make = [f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(2500)], [], probes.canaries
+    monkeypatch.setattr(probes, "vocabulary", lambda df, least: spark.createDataFrame([(w, 3000 - i) for i, w in enumerate(words)], "word string, n long"))
+    monkeypatch.setattr(probes, "canaries", lambda spark, drawn, *a: seen.append(drawn) or make(spark, drawn, *a))
+    assert entry.queries()["canary_copies"](spark, FOLDER).count() == 8 * (1 + 4 + 16)
+    assert seen == [sorted(words)]
