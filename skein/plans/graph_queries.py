@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.catalogue import query
+from skein.catalogue import RECORDS_SQL, query
 from skein.operators import ingest
 from skein.operators import quality as Q
+from skein.sources.manifest import records
 from skein.sources.tables import table
 
 S, D = SparkSession, DataFrame
@@ -80,3 +81,33 @@ def payload_problems(spark: S, sf: str) -> D:
 def resolved_titles(spark: S, sf: str) -> D:
     titles = spark.createDataFrame([("comets",), ("Comets",), ("Halo",)], "title string")
     return ingest.resolved_titles(payloads(spark), "payload", titles)
+
+
+def record_payloads(spark: S, sf: str) -> D:
+    """A revision payload for every record: pages are numbered by a hash of the id, revisions by the number in theirs; titles written with underscores are normalised."""
+    r = records(spark, sf, "title", "revision_id", "published_at", "text")
+    page = F.shiftrightunsigned(F.xxhash64("document_id"), 1)
+    revid = F.nullif(F.regexp_extract("revision_id", "([0-9]+)$", 1), F.lit("")).cast("long")
+    main = F.create_map(F.lit("content"), F.coalesce("text", F.lit("")))
+    revision = F.struct(revid.alias("revid"), F.col("published_at").alias("timestamp"), F.struct(main.alias("main")).alias("slots"))
+    pages = F.create_map(page.cast("string"), F.struct(page.alias("pageid"), "title", F.array(revision).alias("revisions")))
+    moves = F.when(F.col("title").contains(" "), F.array(F.struct(F.translate("title", " ", "_").alias("from"), F.col("title").alias("to"))))
+    return r.select(F.to_json(F.struct(F.struct(pages.alias("pages"), moves.alias("normalized")).alias("query"))).alias("payload"))
+
+
+@query(f"WITH {RECORDS_SQL} SELECT title, nullif(regexp_extract(revision_id, '([0-9]+)$', 1), '') AS revision_id, sha256(text) AS raw_sha256 FROM rec WHERE text IS NOT NULL AND text <> ''")
+def table_payload_records(spark: S, sf: str) -> D:
+    """The records of the table's own payloads."""
+    return ingest.payload_records(record_payloads(spark, sf), "payload", "wiki", "2024-01-01T00:00:00Z")[0].select("title", "revision_id", "raw_sha256")
+
+
+@query(f"WITH {RECORDS_SQL} SELECT title, 'empty content' AS problem FROM rec WHERE text IS NULL OR text = ''")
+def table_payload_problems(spark: S, sf: str) -> D:
+    return ingest.payload_records(record_payloads(spark, sf), "payload", "wiki", "2024-01-01T00:00:00Z")[1]
+
+
+@query(f"WITH {RECORDS_SQL}, t AS (SELECT DISTINCT replace(title, ' ', '_') AS title FROM category_listing WHERE title IS NOT NULL), m AS (SELECT DISTINCT title AS resolved, replace(title, ' ', '_') AS title FROM rec WHERE title LIKE '% %') SELECT t.title, coalesce(m.resolved, t.title) AS resolved FROM t LEFT JOIN m USING (title)")
+def table_resolved_titles(spark: S, sf: str) -> D:
+    """The listing's titles, written with underscores, followed through the table's payloads."""
+    titles = table(spark, sf, "category_listing").where("title is not null").select(F.translate("title", " ", "_").alias("title"))
+    return ingest.resolved_titles(record_payloads(spark, sf), "payload", titles)
