@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.latest import latest_per_key
+from skein.storage import bucketed, written
 
 
 @dataclass
@@ -27,7 +28,8 @@ def corpus_of(df: DataFrame, id: str, text: str, *order: Column, extra: dict[str
     Of several rows with one id, the first by `order` is the record; without
     an order, or among ties, a fixed one. Only ids, hashes and the extra
     columns take part in that choice, so whole texts are shuffled once, by
-    class, with copies dropped before the shuffle. Rows with null id are
+    class, with copies dropped before the shuffle, and kept in buckets of the
+    class, so that no later join moves them all again. Rows with null id are
     dropped; null or shorter texts have no class and are in no pair. The class
     is the 64-bit hash of the text; a second hash makes the query fail, rather
     than merge, if two different texts ever had the same.
@@ -36,11 +38,11 @@ def corpus_of(df: DataFrame, id: str, text: str, *order: Column, extra: dict[str
     usable = F.length("text") >= least
     rows = rows.withColumn("class", F.when(usable, F.xxhash64(F.lit(17012), "text")))
     narrow = rows.withColumns({"h2": F.when(usable, F.xxhash64("text")), "chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}).drop("text")
-    members = latest_per_key(narrow, "id", *(F.col(f"__o{i}").desc_nulls_last() for i in range(len(order)))).drop(*(f"__o{i}" for i in range(len(order))))
+    members = written(latest_per_key(narrow, "id", *(F.col(f"__o{i}").desc_nulls_last() for i in range(len(order)))).drop(*(f"__o{i}" for i in range(len(order)))))
     clash = F.when(F.min("h2") != F.max("h2"), F.raise_error(F.lit("two texts with one hash"))).otherwise(F.lit(True))
     classes = members.where("class is not null").groupBy("class").agg(clash.alias("one")).where("one").select("class")
     texts = rows.where("class is not null").select("class", "text").dropDuplicates(["class"]).join(classes, "class", "left_semi")
-    return Corpus(members.drop("h2"), texts)
+    return Corpus(members.drop("h2"), bucketed(texts, "class"))
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame, within: DataFrame | None = None) -> DataFrame:

@@ -3,16 +3,16 @@
 Reference blocks are the anchors of a text: winnowed runs of K characters,
 chosen so that any two texts with a common run of `least` characters have an
 anchor of it in common. The index of all blocks is a table keyed by the
-block's hash, over the whole corpus. Joining it with itself routes every text
-to just those references that it shares a block with; against each it is then
-parsed greedily into factors, the longest match at the place reached, the next
-factor starting where the last ended. Factors are checked at their start as
-well, since the end of an earlier factor may have cut them short.
-
-Blocks that very many texts have (a notice in a third of the corpus) aren't
-paired directly: a frequency sketch of bounded size finds them, and their
-texts are joined on the hashes of whole windows of `least` characters around
-the block, all of which are true matches.
+block's hash, over the whole corpus. It routes every text to just those
+references that it shares a block with; against each it is then parsed
+greedily into factors, the longest match at the place reached, the next factor
+starting where the last ended. Factors are checked at their start as well,
+since the end of an earlier factor may have cut them short.
+
+Blocks that more than MOST texts have (a notice in a third of the corpus)
+aren't paired directly. Their texts are looked up by the hashes of the whole
+windows of `least` characters around the block: windows that two texts have
+are shared, and what only looked alike drops out.
 """
 
 from __future__ import annotations
@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 
 from skein.llm import textarrays as ta
 from skein.llm.classes import Corpus, expand_pairs
-from skein.llm.sketch import cells, frequency_levels, hot_level
+from skein.llm.meeting import common_keys, cut_down, meetings, pairs_of, salted_pairs
+from skein.storage import written
+
+#: Texts of one block up to which they are paired as they are.
+MOST = 64
 
 
 def block_size(least: int) -> tuple[int, int]:
@@ -34,139 +38,120 @@ def block_size(least: int) -> tuple[int, int]:
     return k, least - k + 1
 
 
-#: Places of one block in a text beyond which the text is parsed by whole windows.
-MOST_PLACES = 16
+class _Runs:
+    """Hashes of any run of a text, from sums over its prefixes."""
 
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes, self.size = codes, len(codes)
+        pow_, self.inverse = ta.powers(self.size + 1)
+        self.sums = np.zeros(self.size + 1, ta.U)
+        np.cumsum((codes.astype(ta.U) + ta.U(1)) * pow_[: self.size], out=self.sums[1:])
 
-def window_factors(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Factors of x against y for texts that repeat themselves: every window of `least` characters is looked up.
+    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        return (self.sums[at + n] - self.sums[at]) * self.inverse[at]
 
-    A factor goes on along its place in y as long as it can; the next one
-    starts with the first window beyond it that y has, at its first place
-    there. Every window that y has is in a factor.
-    """
-    hx, hy = ta.rolling(x, least), ta.rolling(y, least)
-    if not len(hx) or not len(hy):
-        return []
-    values, first = np.unique(hy, return_index=True)
-    at = np.minimum(np.searchsorted(values, hx), len(values) - 1)
-    found = np.flatnonzero(values[at] == hx)
-    out, n = [], 0
-    while n < len(found):
-        i = int(found[n])
-        j = int(first[at[i]])
-        m = min(len(x) - i, len(y) - j)
-        size = least
-        while size < m and (x[i : i + min(2 * size, m)] == y[j : j + min(2 * size, m)]).all():
-            size *= 2
-        differ = np.flatnonzero(x[i : i + min(2 * size, m)] != y[j : j + min(2 * size, m)])
-        length = int(differ[0]) if len(differ) else m
-        if length >= least:
-            out.append((i, j, length))
-        n = int(np.searchsorted(found, i + max(1, length - least + 1)))
-    return out
+
+def _ahead(x: _Runs, i: int, y: _Runs, places: np.ndarray) -> tuple[int, int]:
+    """The first of the places in y from which most characters agree with x from i, and how many do."""
+    n = 0
+    room = np.minimum(x.size - i, y.size - places)
+    step = 1 << int(room.max()).bit_length()
+    at = np.array([i])
+    while step:
+        fit = np.flatnonzero(room >= n + step)
+        if len(fit):
+            fit = fit[y.hashes(places[fit], n + step) == x.hashes(at, n + step)[0]]
+            if len(fit):
+                n += step
+                places, room = places[fit], room[fit]
+        step >>= 1
+    j = int(places[0])
+    differ = np.flatnonzero(x.codes[i : i + n] != y.codes[j : j + n])  # equal hashes of different text
+    return j, int(differ[0]) if len(differ) else n
 
 
-def factors(x: np.ndarray, y: np.ndarray, least: int, k: int) -> list[tuple[int, int, int]]:
+def factors(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Factors (start in x, start in y, length) of at least `least` characters of x against y.
 
-    At every place reached the longest match decides where the next factor
-    starts; all places in y of the block there are checked backwards too, as a
-    match may have begun within the factor before. So every run of `least`
-    characters that y has lies in a factor.
+    Every window of `least` characters of x is looked up in y. At each place
+    reached the longest match is taken, at its first place in y, and extended
+    backwards into the factor before; the next one starts with the first
+    window beyond it that y has. So every window that y has lies in a factor,
+    however often either text repeats it.
     """
-    hx, hy = ta.rolling(x, k), ta.rolling(y, k)
+    hx, hy = ta.rolling(x, least), ta.rolling(y, least)
     if not len(hx) or not len(hy):
         return []
     order = np.argsort(hy, kind="stable")
     sorted_y = hy[order]
     lo, hi = np.searchsorted(sorted_y, hx, "left"), np.searchsorted(sorted_y, hx, "right")
     found = np.flatnonzero(hi > lo)
-    if len(found) and (hi - lo).max() > MOST_PLACES:
-        return window_factors(x, y, least)
-    out: dict[tuple[int, int], int] = {}
-    i = 0
-    while (n := np.searchsorted(found, i)) < len(found):
+    if not len(found):
+        return []
+    rx, ry = _Runs(x), _Runs(y)
+    out, n = [], 0
+    while n < len(found):
         i = int(found[n])
-        longest = 0
-        for j in map(int, order[lo[i] : hi[i]]):
-            m = min(len(x) - i, len(y) - j)
-            differ = np.flatnonzero(x[i : i + m] != y[j : j + m])
-            ahead = int(differ[0]) if len(differ) else m
-            if ahead < k:
-                continue  # equal hashes of different text
+        j, length = _ahead(rx, i, ry, order[lo[i] : hi[i]])
+        if length >= least:
             m = min(i, j)
             differ = np.flatnonzero(x[i - m : i][::-1] != y[j - m : j][::-1])
             back = int(differ[0]) if len(differ) else m
-            longest = max(longest, ahead)
-            if back + ahead >= least:
-                out[i - back, j - back] = back + ahead
-        i += max(1, longest - k + 1)
-    return [(a, b, n) for (a, b), n in out.items()]
+            out.append((i - back, j - back, back + length))
+        n = int(np.searchsorted(found, i + max(1, length - least + 1)))
+    return out
 
 
-def _anchor_rows(least: int, levels, limit: int, hot: bool):
+def _anchor_rows(least: int):
     k, w = block_size(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = batch["text"].to_pylist(), batch["class"].to_numpy()
             for at in range(0, len(texts), 256):
-                part = texts[at : at + 256]
-                text, pos, h = ta.anchors(part, k, w)
-                common = levels.value[cells(h)] >= limit
-                pick = common if hot else ~common
-                text, pos, h = text[pick], pos[pick], h[pick]
-                if hot and len(h):  # all windows of `least` characters that hold the block
-                    codes, starts, ends = ta.codes_of(part)
-                    full = ta.rolling(codes, least)
-                    base = np.repeat(starts[text] + pos - (least - k), least - k + 1) + np.tile(np.arange(least - k + 1), len(text))
-                    own = np.repeat(text, least - k + 1)
-                    ok = (base >= starts[own]) & (base + least <= ends[own])
-                    text, h = ta.distinct(own[ok], full[base[ok]])
-                else:
-                    text, h = ta.distinct(text, h)
+                text, _, h = ta.anchors(texts[at : at + 256], k, w)
+                text, h = ta.distinct(text, h)
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[at + text])], names=["h", "class"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[at + text])], names=["h", "member"])
 
     return run
 
 
-def candidate_pairs(texts: DataFrame, least: int) -> DataFrame:
-    """(ka, kb) of the classes that share a reference block, each pair once."""
+def _window_rows(least: int):
+    """Of texts with some of their block hashes: (h, class, start) of all windows of `least` characters around those blocks."""
     k, w = block_size(least)
 
-    def blocks(batch: pa.RecordBatch) -> np.ndarray:
-        part = batch["text"].to_pylist()
-        return np.concatenate([np.empty(0, np.uint64), *(ta.anchors(part[i : i + 256], k, w)[2] for i in range(0, len(part), 256))])
-
-    found = frequency_levels(texts.select("text"), blocks)
-    limit, levels = hot_level(found), texts.sparkSession.sparkContext.broadcast(found)
-    out = None
-    for hot in (False, True) if (found >= limit).any() else (False,):
-        rows = texts.select("class", "text").mapInArrow(_anchor_rows(least, levels, limit, hot), "h long, class long")
-        if hot:
-            a, b = rows.select("h", F.col("class").alias("ka")), rows.select("h", F.col("class").alias("kb"))
-            pairs = a.join(b, "h").where("ka < kb").select("ka", "kb")
-        else:  # a block has fewer than 2**limit texts: they meet in one row, so blocks are made and moved once
-            met = rows.repartition("h").groupBy("h").agg(F.collect_set("class").alias("l")).where("size(l) > 1")
-            pairs = met.select("l", F.explode("l").alias("ka")).select("ka", F.explode("l").alias("kb")).where("ka < kb")
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, t, wanted in zip(batch["class"].to_pylist(), batch["text"].to_pylist(), batch["blocks"].to_pylist()):
+                codes, _, _ = ta.codes_of([t])
+                _, pos, h = ta.anchors([t], k, w)
+                pos = pos[np.isin(h, np.array(wanted, np.int64).view(np.uint64))]
+                at = np.unique((pos[:, None] + np.arange(k - least, 1)).ravel())
+                at = at[(at >= 0) & (at + least < len(codes))]
+                full = ta.rolling(codes, least)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), pa.array(np.full(len(at), c, np.int64)), pa.array(at)], names=["h", "class", "start"])
 
+    return run
 
-def shared_spans(corpus: Corpus, least: int = 160) -> DataFrame:
-    """Spans (class, start, length, ref_class, ref_start) of the corpus's texts.
 
-    Spans hold for both directions of every pair of classes: each row says
-    that `length` characters (code points) from `start` of one text stand at
-    `ref_start` of the other. Texts that are null or shorter than `least` have
-    none. Copies aren't listed against each other, as they are members of one
-    class. An empty corpus has no spans.
-    """
-    texts = corpus.texts.where(F.length("text") >= least)
-    pairs = candidate_pairs(texts, least)
-    k, _ = block_size(least)
+def routes(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(ka, kb), each once: classes that share a block of at most MOST texts; (h, class, start): windows around the other blocks."""
+    blocks = written(texts.select("class", "text").mapInArrow(_anchor_rows(least), "h long, member long"))
+    met = written(meetings(blocks.mapInArrow(cut_down(lambda batches: batches, MOST), "h long, member long"), MOST))
+    held = blocks.join(common_keys(met), "h", "left_semi").groupBy(F.col("member").alias("class")).agg(F.collect_list("h").alias("blocks"))
+    windows = held.join(texts.select("class", "text"), "class").mapInArrow(_window_rows(least), "h long, class long, start long")
+    return pairs_of(met), windows
+
+
+def candidate_pairs(texts: DataFrame, least: int) -> DataFrame:
+    """(ka, kb) of the classes that share a reference block, or for common blocks a whole window, each pair once."""
+    pairs, windows = routes(texts, least)
+    return pairs.union(salted_pairs(windows.select("h", F.col("class").alias("member")).distinct())).distinct()
+
+
+def spans_between(texts: DataFrame, pairs: DataFrame, least: int, both: bool = True) -> DataFrame:
+    """Spans (class, start, length, ref_class, ref_start) of the pairs (ka, kb); of kb in ka as well if both."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
@@ -175,8 +160,9 @@ def shared_spans(corpus: Corpus, least: int = 160) -> DataFrame:
             rows = []
             for a, b, ta_, tb in zip(ka, kb, batch["ta"].to_pylist(), batch["tb"].to_pylist()):
                 x, y = codes(ta_), codes(tb)
-                rows += [(a, i, n, b, j) for i, j, n in factors(x, y, least, k)]
-                rows += [(b, i, n, a, j) for i, j, n in factors(y, x, least, k)]
+                rows += [(a, i, n, b, j) for i, j, n in factors(x, y, least)]
+                if both:
+                    rows += [(b, i, n, a, j) for i, j, n in factors(y, x, least)]
             if rows:
                 c, i, n, r, j = (list(z) for z in zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(j, pa.int64())], names=["class", "start", "length", "ref_class", "ref_start"])
@@ -185,9 +171,27 @@ def shared_spans(corpus: Corpus, least: int = 160) -> DataFrame:
     return joined.mapInArrow(parse, "class long, start long, length long, ref_class long, ref_start long")
 
 
+def _long(corpus: Corpus, least: int) -> DataFrame:
+    return corpus.texts.where(F.length("text") >= least)
+
+
+def shared_spans(corpus: Corpus, least: int = 160) -> DataFrame:
+    """Spans (class, start, length, ref_class, ref_start) of the corpus's texts.
+
+    Spans hold for both directions of every pair of classes: each row says
+    that `length` characters (code points) from `start` of one text stand at
+    `ref_start` of the other. Texts that are null or shorter than `least` have
+    none. Copies aren't listed against each other, as they are members of one
+    class. An empty corpus has no spans.
+    """
+    texts = _long(corpus, least)
+    return spans_between(texts, candidate_pairs(texts, least), least)
+
+
 def sharing_pairs(corpus: Corpus, least: int = 160) -> DataFrame:
     """(a, b), a < b: all pairs of records that have some same string of `least` characters."""
-    pairs = shared_spans(corpus, least).where("class < ref_class").select(F.col("class").alias("ka"), F.col("ref_class").alias("kb"))
+    texts = _long(corpus, least)
+    pairs = spans_between(texts, candidate_pairs(texts, least), least, both=False).select(F.col("class").alias("ka"), F.col("ref_class").alias("kb"))
     members = corpus.members.where(F.col("class").isNotNull() & (F.col("chars") >= least))
     return expand_pairs(pairs, members, within=members)
 
@@ -197,11 +201,24 @@ def shared_coverage(corpus: Corpus, least: int = 160) -> DataFrame:
 
     Spans that overlap or touch are joined before they are counted. A text of
     `least` characters that another record has as a whole is one span. Records
-    with null, blank or short texts have no spans and share 0.
+    with null, blank or short texts have no spans and share 0. Texts are
+    parsed against each other where at most MOST have a block; of more common
+    blocks the windows that two classes have are counted as they are, so that
+    nothing grows with the square of the texts that share a passage.
     """
     zero = F.lit(0).cast("long")
+    texts = _long(corpus, least)
+    pairs, windows = routes(texts, least)
+    windows = written(windows)
+    common = windows.groupBy("h").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("h")
+    reach = (
+        spans_between(texts, pairs, least)
+        .select("class", "start", (F.col("start") + F.col("length")).alias("end"))
+        .union(windows.join(common, "h", "left_semi").select("class", "start", F.col("start") + least))
+        .groupBy("class", "start")
+        .agg(F.max("end").alias("end"))  # at most one row a character
+    )
     copied = corpus.members.where(F.col("class").isNotNull() & (F.col("chars") >= least)).groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class", F.lit(True).alias("copied"))
-    reach = shared_spans(corpus, least).groupBy("class", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))  # at most one row a character
     merged = (
         reach.groupBy("class")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))

@@ -95,7 +95,8 @@ def anchors(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, n
     return text, at - starts[text], h[at]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers 0 to n - 1 and its inverse to the same."""
     if len(_cache.get("pow", ())) < n:
         n = max(n, 1 << 17)
         inverse = U(pow(int(BASE), -1, 1 << 64))
@@ -121,7 +122,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     is_word = alnum()[codes]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], is_word, [False])).view(np.int8)))
     begin, end = edge[::2], edge[1::2]
-    pow_, inv = _powers(len(codes) + 1)
+    pow_, inv = powers(len(codes) + 1)
     total = np.zeros(len(codes) + 1, U)
     np.cumsum((codes.astype(U) + U(0x5851F42D)) * pow_[: len(codes)], out=total[1:])
     h = mix((total[end] - total[begin]) * inv[begin] + (end - begin).astype(U))
@@ -137,7 +138,7 @@ def shingles(texts: list[str], n: int = 5) -> tuple[np.ndarray, np.ndarray, np.n
     if len(w):
         first = np.cumsum(counts) - counts
         rank = np.arange(len(w)) - first[text]
-        pow_, _ = _powers(int(rank.max()) + 2)
+        pow_, _ = powers(int(rank.max()) + 2)
         parts = mix(w ^ U(0xA5A5A5A5A5A5A5A5)) * pow_[rank + 1]
         some = counts > 0
         sequence[some] = np.add.reduceat(parts, first[some])
