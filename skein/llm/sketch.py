@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BITS, CHUNKS, FULL = 22, 64, 255
+BITS, CHUNKS = 22, 64
 MARK_BITS = 26
 
 
@@ -28,7 +28,11 @@ def cells(h: np.ndarray) -> np.ndarray:
 
 
 def frequency_levels(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """One uint8 a cell: the bit length of its count over all rows of df. A task's own count stops at FULL."""
+    """One uint8 a cell: the bit length of its count over all rows of df.
+
+    A task hands on counts to an eighth of a power of two, rounded up, in one
+    byte each, so that no count stops short however many rows a task has.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.uint32)
@@ -36,17 +40,18 @@ def frequency_levels(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarra
             if batch.num_rows:
                 total += np.bincount(cells(hashes(batch)), minlength=1 << BITS).astype(np.uint32)
         if total.any():
-            parts = np.minimum(total, FULL).astype(np.uint8).reshape(CHUNKS, -1)
+            parts = np.ceil(8 * np.log2(total + 1.0)).astype(np.uint8).reshape(CHUNKS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << BITS) // CHUNKS, np.uint32)
+        total = np.zeros((1 << BITS) // CHUNKS, np.uint64)
+        counts = np.floor(np.exp2(np.arange(256) / 8) - 1 + 1e-6).astype(np.uint64)
         for batch in table.to_batches(max_chunksize=16):
             for x in batch["counts"].to_pylist():
-                total += np.frombuffer(x, np.uint8)
+                total += counts[np.frombuffer(x, np.uint8)]
         level = np.zeros(len(total), np.uint8)
-        for bit in range(32):
-            level[total >= np.uint32(1 << bit)] = bit + 1
+        for bit in range(48):
+            level[total >= np.uint64(1 << bit)] = bit + 1
         return pa.table({"chunk": table["chunk"][:1], "level": pa.array([level.tobytes()], pa.binary())})
 
     rows = df.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary").collect()

@@ -20,8 +20,11 @@ taken off; each fingerprint accounts for at most six of the rest.
 Where nothing remains, because a record repeats itself or is made of stock
 phrases, it is joined on runs instead, which needs no such argument: of its
 l + k rarest runs at least k are in every training record that has the share.
-Training records hand on every run that may be one of these, by a filter of
-bounded size. So no pair is lost and no stock phrase has to be paired for all.
+Training records hand on only fingerprints that evaluation records may be
+found by, and every run that may be one of the rarest, by a filter of bounded
+size: held-out sets are small beside a corpus. With very many evaluation
+records the filter lets more through, and the join does its work. So no pair
+is lost and no stock phrase has to be paired for all.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from skein.llm import textarrays as ta
 from skein.llm.classes import Corpus
 from skein.llm.sketch import cells, frequency_levels, hot_level, marked, marks_of
-from skein.storage import written
+from skein.storage import bucketed, written
 
 WORDS, WINDOW, LEAST_WORDS = 5, 6, 20
 #: Runs in a cell of 64 occurrences or more, and well above the mean cell, are common.
@@ -46,14 +49,19 @@ MORE_RUNS = 4
 TRAIN, EVALUATION = "train", ("validation", "test", "probe", "cloze_reserve")
 
 
-def fingerprints(texts: list[str], levels: np.ndarray, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of the fingerprints, and of the marked runs, of all texts with enough words."""
+#: Added to a run before it is put into the filter as a key of its own, so that it differs from a fingerprint.
+AS_RUN = ta.U(0xA24BAED4963EE407)
+
+
+def fingerprints(texts: list[str], levels: np.ndarray, common: int = 256, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of the fingerprints below the common level of all texts with enough words; with marks, of those and other runs that the filter may have."""
     text, h, counts, _ = ta.shingles(texts, WORDS)
     if len(h) < WINDOW:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    pick = ta.selected(_order(h, levels), WINDOW)
+    pick = ta.selected(_order(h, levels), WINDOW) & (levels[cells(h)] < common)
     if marks is not None:
-        pick |= marked(marks, h)
+        pick[pick] = marked(marks, h[pick])
+        pick |= marked(marks, h + AS_RUN)
     pick &= counts[text] >= LEAST_WORDS
     return ta.distinct(text[pick], h[pick])
 
@@ -87,8 +95,8 @@ def evaluation_keys(texts: list[str], levels: np.ndarray, common: int, least: fl
     by_runs = need < 1
     rare = np.bincount(each[levels[cells(run)] < common], minlength=len(texts))
     need = np.where(by_runs, np.clip(rare - lost, 1, MORE_RUNS), need)
-    t, f = fingerprints(texts, levels)
-    keep = ~by_runs[t] & (levels[cells(f)] < common)
+    t, f = fingerprints(texts, levels, common)
+    keep = ~by_runs[t]
     order = np.lexsort((_order(run, levels), each))
     each, run = each[order], run[order]
     rank = np.arange(len(each)) - (np.cumsum(size) - size)[each]
@@ -103,17 +111,17 @@ def _evaluation_rows(levels, common: int, least: float):
             for at in range(0, len(texts), 128):
                 text, h, need, by_runs = evaluation_keys(texts[at : at + 128], levels.value, common, least)
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[at + text]), pa.array(need[text]), pa.array(by_runs[text])], names=["h", "class", "need", "by_runs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[at + text]), pa.array(need[text].astype(np.int32)), pa.array(by_runs[text])], names=["h", "class", "need", "by_runs"])
 
     return run
 
 
-def _training_rows(levels, marks):
+def _training_rows(levels, common: int, marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = batch["text"].to_pylist(), batch["class"].to_numpy()
             for at in range(0, len(texts), 128):
-                text, h = fingerprints(texts[at : at + 128], levels.value, marks.value)
+                text, h = fingerprints(texts[at : at + 128], levels.value, common, marks.value)
                 if len(h):
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[at + text])], names=["h", "class"])
 
@@ -180,22 +188,24 @@ def leaking_pairs(corpus: Corpus, least: float = 0.7) -> DataFrame:
     of one class and all come out. An empty side gives an empty result.
     """
     members = corpus.members.where("class is not null").select("id", "class", "split")
-    sides = members.groupBy("class").agg(F.bool_or(F.col("split").isin(*EVALUATION)).alias("e"), F.bool_or(F.col("split") == TRAIN).alias("t")).where("e or t")
-    texts = written(corpus.texts.join(sides, "class"))
+    sides = bucketed(members.groupBy("class").agg(F.bool_or(F.col("split").isin(*EVALUATION)).alias("e"), F.bool_or(F.col("split") == TRAIN).alias("t")).where("e or t"), "class")
+    side = lambda where: corpus.texts.join(sides.where(where).select("class"), "class", "left_semi")
+    e_text, t_text = side("e"), side("t")
+    share = corpus.texts.sparkSession.sparkContext.broadcast
 
     def runs(batch: pa.RecordBatch) -> np.ndarray:
         part = batch["text"].to_pylist()
         return np.concatenate([np.empty(0, np.uint64), *(ta.shingles(part[i : i + 128], WORDS)[1] for i in range(0, len(part), 128))])
 
-    found = frequency_levels(texts.select("text"), runs)
-    common, levels = hot_level(found, COMMON, 3), texts.sparkSession.sparkContext.broadcast(found)
-    e_text, t_text = texts.where("e").select("class", "text"), texts.where("t").select("class", "text")
-    keys = written(e_text.mapInArrow(_evaluation_rows(levels, common, least), "h long, class long, need long, by_runs boolean"))
-    marks = texts.sparkSession.sparkContext.broadcast(marks_of(keys.where("by_runs").select("h"), lambda batch: batch["h"].to_numpy().view(np.uint64)))
+    found = frequency_levels(side("e or t").select("text"), runs)
+    common, levels = hot_level(found, COMMON, 3), share(found)
+    keys = written(e_text.mapInArrow(_evaluation_rows(levels, common, least), "h long, class long, need int, by_runs boolean"))
+    marks = share(marks_of(keys.select("h", "by_runs"), lambda batch: batch["h"].to_numpy().view(np.uint64) + np.where(batch["by_runs"].to_numpy(zero_copy_only=False), AS_RUN, ta.U(0))))
     e = keys.drop("by_runs").withColumnRenamed("class", "ke")
-    t = t_text.mapInArrow(_training_rows(levels, marks), "h long, class long").withColumnRenamed("class", "kt")
-    met = e.join(t, "h").groupBy("ke", "kt").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("ke", "kt")
-    full = met.join(e_text.select(F.col("class").alias("ke"), F.col("text").alias("te")), "ke").join(t_text.select(F.col("class").alias("kt"), F.col("text").alias("tt")), "kt")
+    t = t_text.mapInArrow(_training_rows(levels, common, marks), "h long, class long").withColumnRenamed("class", "kt")
+    met = e.join(t, "h").groupBy("ke", "kt").agg(F.count("*").cast("int").alias("n"), F.first("need").alias("need")).where("n >= need").select("ke", "kt")
+    texts = corpus.texts
+    full = met.join(texts.select(F.col("class").alias("ke"), F.col("text").alias("te")), "ke").join(texts.select(F.col("class").alias("kt"), F.col("text").alias("tt")), "kt")
     links = full.mapInArrow(_compare(least), "ke long, kt long, share double, aligned_words long, eval_words long")
     return (
         links.join(members.where(F.col("split").isin(*EVALUATION)).select(F.col("class").alias("ke"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split")), "ke")
