@@ -1,7 +1,11 @@
 """DuckDB SQL of the pN_ queries that SQL can express over whole tables.
 
-p1, p4 and p5 are similarity joins and p8 needs a tokenizer: they are held
-against brute force on small tables in tests/llm instead, as are p7 and p9.
+Those of p1, p4 and p5 compare all sets of windows or word runs exactly, so
+they show what the searches find and lose; they are for the sizes of the test
+tables. p7 needs compatibility forms, p8 a tokenizer and hashes of the same
+kind, p9 rules of scripts, p2_statistics sketches and p6_assignment hashes of
+the same kind: these are held against brute force, or what must hold of them,
+in tests/llm.
 """
 
 from __future__ import annotations
@@ -37,4 +41,50 @@ w AS (SELECT d AS a, d AS b FROM r UNION SELECT w.a, e.b FROM w JOIN e ON w.b =
 comp AS (SELECT a AS d, min(b) AS root FROM w GROUP BY a)"""
 _P6 = f"WITH RECURSIVE {_EDGES} SELECT root AS group_id FROM comp JOIN r USING (d) WHERE s IN ('train', 'validation', 'test', 'probe', 'cloze_reserve') GROUP BY root HAVING count(DISTINCT s) > 1"
 
-ORACLES: dict[str, str] = {"p2_found": _P2, "p3_found": _P3, "p3_cleaned": _P3_CLEANED, "p6_found": _P6}
+_WINDOWS = f"""{REC},
+u AS (SELECT document_id, text, unnest(range(1, length(text) - 158)) AS i FROM rec WHERE length(text) >= 160),
+w AS (SELECT document_id, i, substr(text, i, 160) AS g FROM u),
+s AS (SELECT g FROM w GROUP BY g HAVING count(DISTINCT document_id) > 1)"""
+_P1 = f"""WITH {_WINDOWS}, x AS (SELECT DISTINCT document_id, g FROM w SEMI JOIN s USING (g))
+SELECT DISTINCT a.document_id AS document_id_a, b.document_id AS document_id_b FROM x a JOIN x b ON a.g = b.g AND a.document_id < b.document_id"""
+_P1_COVERAGE = f"""WITH {_WINDOWS},
+x AS (SELECT document_id, i, lead(i) OVER (PARTITION BY document_id ORDER BY i) - i AS gap FROM w SEMI JOIN s USING (g)),
+c AS (SELECT document_id, sum(least(160, coalesce(gap, 160)))::BIGINT AS chars, count(*) FILTER (gap IS NULL OR gap > 160) AS spans FROM x GROUP BY document_id)
+SELECT document_id, coalesce(length(text), 0) AS n_chars, coalesce(chars, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(chars, 0) / length(text), 6) ELSE 0.0 END AS shared_share, coalesce(spans, 0) AS n_spans FROM rec LEFT JOIN c USING (document_id)"""
+
+_SETS = rf"""{REC},
+v AS (SELECT document_id, split, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS v FROM rec WHERE text IS NOT NULL),
+g AS (SELECT document_id, lower(trim(split)) AS split, unnest(list_distinct(list_transform(range(1, len(v) - 3), lambda i: array_to_string(v[i:i + 4], ' ')))) AS g FROM v WHERE len(v) >= 20),
+n AS (SELECT document_id, count(*) AS n FROM g GROUP BY document_id)"""
+_NEAR = f"""{_SETS},
+b AS (SELECT x.document_id AS a, y.document_id AS b, count(*) AS i FROM g x JOIN g y ON x.g = y.g AND x.document_id < y.document_id GROUP BY ALL),
+near AS (SELECT a, b, i::DOUBLE / (p.n + q.n - i) AS sim FROM b JOIN n p ON p.document_id = a JOIN n q ON q.document_id = b)"""
+_P4 = f"WITH {_NEAR} SELECT a AS document_id_a, b AS document_id_b FROM near WHERE sim >= 0.7"
+_P4_GROUPS = f"""WITH RECURSIVE {_NEAR},
+e AS (SELECT a, b FROM near WHERE sim >= 0.8 UNION SELECT b, a FROM near WHERE sim >= 0.8),
+t AS (SELECT min(document_id) AS first, text FROM rec WHERE text <> '' GROUP BY text),
+k AS (SELECT document_id AS a, document_id AS b FROM rec UNION SELECT k.a, e.b FROM k JOIN e ON k.b = e.a),
+m AS (SELECT a AS document_id, min(b) AS group_id FROM k GROUP BY a),
+z AS (SELECT m.document_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size, row_number() OVER (PARTITION BY group_id ORDER BY length(coalesce(text, '')) DESC, m.document_id) AS r FROM m JOIN rec USING (document_id) WHERE document_id IN (SELECT document_id FROM n)),
+short AS (SELECT r.document_id, coalesce(t.first, r.document_id) AS group_id, count(*) OVER (PARTITION BY coalesce(t.first, r.document_id)) AS group_size FROM rec r LEFT JOIN t ON t.text = r.text WHERE r.document_id NOT IN (SELECT document_id FROM n))
+SELECT document_id, group_id, group_size, r = 1 AS is_representative FROM z UNION ALL SELECT document_id, document_id, 1, TRUE FROM short"""
+_HELD = "('validation', 'test', 'probe', 'cloze_reserve')"
+_LEAKS = f"""{_SETS},
+b AS (SELECT x.document_id AS e, y.document_id AS t, count(*) AS i FROM g x JOIN g y ON x.g = y.g WHERE x.split IN {_HELD} AND y.split = 'train' GROUP BY ALL),
+leak AS (SELECT e, t, i::DOUBLE / n AS share FROM b JOIN n ON n.document_id = e WHERE i::DOUBLE / n >= 0.7)"""
+_P5 = f"WITH {_LEAKS} SELECT least(e, t) AS document_id_a, greatest(e, t) AS document_id_b FROM leak"
+_P5_REPORT = f"""WITH {_LEAKS}, r AS (SELECT document_id AS e, lower(trim(split)) AS split, source FROM rec), c AS (SELECT e, count(*) AS k FROM leak GROUP BY e)
+SELECT split, source, count(*) AS eval_records, count(k) AS leaked_records, coalesce(sum(k), 0)::BIGINT AS pairs FROM r LEFT JOIN c USING (e) WHERE split IN {_HELD} GROUP BY split, source"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": _P1,
+    "p1_shared_coverage": _P1_COVERAGE,
+    "p2_found": _P2,
+    "p3_found": _P3,
+    "p3_cleaned": _P3_CLEANED,
+    "p4_found": _P4,
+    "p4_groups": _P4_GROUPS,
+    "p5_found": _P5,
+    "p5_leak_report": _P5_REPORT,
+    "p6_found": _P6,
+}
