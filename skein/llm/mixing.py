@@ -6,17 +6,21 @@ it, divided by the source's weight; a second pass over the source goes on
 where the first ended. Taking documents in the order of finish times and
 stopping at the budget gives every source its share. Cumulative tokens come
 from sums over hash ranges of the order, so no source, however large, is
-summed up in one task, and the final order is a range sort in the same way.
+summed up in one task.
+
+The virtual time at which the budget runs out follows from the sources' sums
+alone. Whatever has finished by then is taken; only documents that finish
+soon after, a few of each source, are put in order by a range sort over
+sampled bounds and cut off at the budget.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.tokens import TOKENIZER, token_count
+from skein.operators.packing import offsets
 from skein.storage import written
 
 #: Ranges of the shuffled order that are summed up first; a range of a source with 10**12 documents holds 10**8 / 1.6.
@@ -36,6 +40,24 @@ def _running(df: DataFrame, by: list[str], at: Column, order: list[Column], valu
     return rows.join(before, [*by, "__r"]).withColumn("upto", F.col("__before") + F.sum(value).over(inner)).drop("__r", "__before")
 
 
+def _time_at(plan: DataFrame, total: float) -> float:
+    """The virtual time by which the sources have given `total` tokens: each gives its share of the time until it is used up.
+
+    plan: (source, t, share, cap), one row a source. Between the times at
+    which sources are used up the sum is a straight line, so one running sum
+    over the sources in that order finds the line and the time on it.
+    """
+    end = F.when(F.col("cap").isNotNull(), F.col("cap") * F.col("t") / F.col("share"))
+    ends = plan.select("source", "share", end.alias("end"), (F.col("cap") * F.col("t")).alias("most"))
+    all_share = ends.agg(F.coalesce(F.sum("share"), F.lit(0.0))).first()[0]
+    w = Window.orderBy(F.col("end"), "source").rowsBetween(Window.unboundedPreceding, 0)  # one row a source
+    lines = ends.where("end is not null").select("end", F.sum("most").over(w).alias("gone"), (F.lit(all_share) - F.sum("share").over(w)).alias("going"))
+    # all that is given at each end: what is used up by then and the time's share of the rest
+    last = lines.where(F.col("gone") + F.greatest(F.col("going"), F.lit(0.0)) * F.col("end") < F.lit(total)).agg(F.max_by(F.struct("gone", "going", "end"), F.struct("end", "gone"))).first()[0]
+    gone, going, at = (float(last["gone"]), float(last["going"]), float(last["end"])) if last is not None else (0.0, float(all_share), 0.0)
+    return max(at, (total - gone) / going) if going > 1e-12 else at
+
+
 def mixed(docs: DataFrame, targets: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", budget: int | None = None, tokenizer: str = TOKENIZER, seed: int = 17012) -> tuple[DataFrame, DataFrame]:
     """Chosen documents (id, source, tokens, repeats) and the report (source, target_share, tokens, share, documents, available_tokens, max_repeats).
 
@@ -66,32 +88,27 @@ def mixed(docs: DataFrame, targets: DataFrame, id: str = "doc_id", source: str =
         full = float(norm.all_t) if norm.reach is None else float(norm.reach) * float(norm.all_w)
         total = float(budget) if budget is not None else full
     all_w = float(norm.all_w) if norm and norm.all_w else 1.0
-    share = F.col("w") / F.lit(all_w)
-    plan = have.withColumn("share", share)
-    # virtual time at which the budget is spent: raised while capped sources leave some of it over
-    sources = [(r.t, r.share, r.cap) for r in plan.select("t", "share", "cap").toLocalIterator()]
-    most = lambda v: sum(min(s * v, (c if c is not None else math.inf) * t) for t, s, c in sources)
-    lo, hi = 0.0, max(total, 1.0)
-    while sources and most(hi) < total and hi < 1e18:
-        hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if most(mid) < total else (lo, mid)
-    v = hi
-    # passes that are over by then, and the finish times of the two passes around it
-    passes = plan.withColumn("done", F.least(F.floor(F.lit(v) * F.col("share") / F.col("t")), F.coalesce("cap", F.lit(1 << 62)))).select("source", "t", "share", "cap", "done")
-    spent = int(passes.agg(F.coalesce(F.sum(F.col("done") * F.col("t")), F.lit(0))).first()[0])
-    near = ordered.join(passes, "source").withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.col("cap").isNull() | (F.col("done") + F.col("pass") < F.col("cap")))
-    near = near.withColumn("finish", ((F.col("done") + F.col("pass")) * F.col("t") + F.col("upto")) / F.col("share")).where(F.col("finish") <= F.lit(v) + 2 * F.col("t") / F.col("share"))
-    left = max(0, int(total) - spent)
-    window = near.agg(F.min("finish").alias("a"), F.max("finish").alias("b")).first()
-    a, b = (window.a or 0.0), (window.b or 1.0)
-    at = F.least(F.lit(RANGES - 1), F.floor((F.col("finish") - F.lit(a)) / F.lit(max(b - a, 1e-9)) * RANGES))
-    queue = _running(near.select("id", "source", "tokens", "finish", "pass").withColumn("all", F.lit(0)), ["all"], at, [F.col("finish"), F.col("source"), F.col("id"), F.col("pass")], "tokens")
-    partial = queue.where(F.col("upto") <= left).groupBy("id").agg(F.count("*").alias("extra"))
-    chosen = written(
-        kept.join(passes.select("source", "done"), "source").join(partial, "id", "left").select("id", "source", "tokens", (F.col("done") + F.coalesce("extra", F.lit(0))).cast("long").alias("repeats")).where("repeats > 0")
-    )
+    plan = written(have.withColumn("share", F.col("w") / F.lit(all_w)))
+    v = _time_at(plan, total)
+    # whole passes that are over by then, and what of the next pass is
+    whole = F.least(F.floor(F.lit(v) * F.col("share") / F.col("t")), F.coalesce("cap", F.lit(1 << 62)))
+    passes = plan.withColumn("done", whole).withColumn("more", F.col("cap").isNull() | (F.col("done") < F.col("cap")))
+    timed = ordered.join(passes.select("source", "t", "share", "cap", "done", "more"), "source").withColumn("finish", (F.col("done") * F.col("t") + F.col("upto")) / F.col("share"))
+    timed = written(timed.select("id", "source", "tokens", "t", "share", "cap", "done", "finish", (F.col("more") & (F.col("finish") <= F.lit(v))).alias("taken"), "more"))
+    sums = timed.groupBy("source").agg(F.max("tokens").alias("largest"), F.first("share").alias("share"), F.max("more").alias("more"), F.sum(F.col("tokens") * (F.col("done") + F.col("taken").cast("long"))).alias("spent"))
+    after = sums.agg(F.coalesce(F.sum("spent"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("more"), F.col("largest"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("more"), F.col("share"))), F.lit(0.0))).first()
+    left = max(0, int(total) - int(after[0]))
+    # by the time `until`, what goes on has finished far more than what is left, even if half of it is used up meanwhile
+    until = v + (2.0 * left + 4.0 * float(after[1])) / float(after[2]) if after[2] else v
+    rounds = F.sequence(F.lit(0), (F.floor(F.lit(until - v) * F.col("share") / F.col("t")) + 1).cast("int"))
+    again = lambda p: F.struct(p.alias("pass"), (F.col("finish") + p * F.col("t") / F.col("share")).alias("at"))
+    near = timed.where("more").where(F.col("finish") <= F.lit(until))  # in its first round already, or never
+    soon = near.select("id", "source", "tokens", F.explode(F.transform(rounds, again)).alias("p"), "cap", "done")
+    soon = soon.where((F.col("p.at") > F.lit(v)) & (F.col("p.at") <= F.lit(until)) & (F.col("cap").isNull() | (F.col("done") + F.col("p.pass") < F.col("cap"))))
+    queue = offsets(soon.select("id", F.struct("p.at", "source", "id", "p.pass").alias("place"), "tokens"), "place", F.col("tokens"))
+    partial = queue.where(F.col("offset") + F.col("tokens") <= left).groupBy("id").agg(F.count("*").alias("extra"))
+    repeats = (F.col("done") + F.col("taken").cast("long") + F.coalesce("extra", F.lit(0))).cast("long")
+    chosen = written(timed.join(partial, "id", "left").select("id", "source", "tokens", repeats.alias("repeats")).where("repeats > 0"))
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.sum("repeats").alias("documents"))
     grand = got.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] or 0
     report = wanted.join(plan.select("source", "t", "share"), "source", "left").join(got, "source", "left").select(
