@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.storage import written
+
 #: Rows that a task holds at once before it cuts and hands them on.
 BUFFER = 1 << 21
 #: Stands for "this key is common" in place of a member.
@@ -111,8 +113,8 @@ def pairs_of(met: DataFrame) -> DataFrame:
 
 
 def common_keys(met: DataFrame) -> DataFrame:
-    """(h) of the common keys."""
-    return met.where(F.col("h").isNotNull()).select("h").distinct()
+    """(h) of the common keys, written, so that joins know how few they are."""
+    return written(met.where(F.col("h").isNotNull()).select("h").distinct())
 
 
 def salted_pairs(rows: DataFrame, group: str | None = None, salts: int = 16) -> DataFrame:
