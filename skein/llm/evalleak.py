@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.storage import written
+
 LEAST, SHORTEST = 48, 24
 #: Items of one automaton; more are scanned for in several passes, so that what executors get stays bounded.
 BLOCK_ITEMS = 20_000
@@ -40,6 +42,15 @@ def origins(text: str) -> list[int]:
     return out
 
 
+def place_of(text: str, at: int) -> int:
+    """The position in text of the character at of normal(text), for texts that don't fall into parts with forms of their own."""
+    lo, hi = 0, len(text)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if len(normal(text[:mid])) <= at else (lo, mid)
+    return lo
+
+
 def automaton(items: list[tuple[int, str]], least: int = LEAST):
     import ahocorasick
 
@@ -78,13 +89,15 @@ def leaks_in(text: str, items: list[tuple[int, str]], made, least: int = LEAST)
     if not best:
         return {}
     place = origins(text)
-    exact = len(place) == len(form)
-    return {items[n][0]: ((place[b], place[b + k - 1] + 1, k) if exact else (0, len(text), k)) for n, (b, k) in best.items()}
+    at = place.__getitem__ if len(place) == len(form) else lambda i: place_of(text, i)
+    return {items[n][0]: (at(b), at(b + k - 1) + 1, k) for n, (b, k) in best.items()}
 
 
 def _scan(shared, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
+        if not items:
+            return
         if _built.get("items") is not items or _built.get("least") != least:
             _built.update(items=items, least=least, made=automaton(items, least))  # the items stay alive as long as their automaton
         made = _built["made"]
@@ -111,6 +124,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item
     spark = docs.sparkSession
     form = F.pandas_udf(lambda s: s.map(normal), "string")
     forms = items.select(F.col(item).cast("long").alias("item_id"), form(F.coalesce(F.col(text), F.lit(""))).alias("form")).where(F.col("item_id").isNotNull() & (F.length("form") >= shortest)).distinct()
+    forms = written(forms)
     count = forms.count()
     passes = max(1, -(-count // BLOCK_ITEMS))
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")

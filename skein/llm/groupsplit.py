@@ -3,15 +3,19 @@
 Records are related through shared keys (a cluster, a source record). Every
 key links its records to their least one; pointer jumping then contracts the
 links: each round joins every pointer with the pointer it points to and moves
-roots of linked records to the least root met. The resulting table (id,
-component, split) can be written and given to the next run, which adds records
-to it: components that have one split keep it, new ones fill what the
-proportions lack, and components merged from different splits are quarantined.
+roots of linked records to the least root met. What is kept is two tables,
+(id, component, split) and (key, component). The next delivery brings new
+records only: they meet old ones by their keys, only components that they
+touch are contracted anew, and merges are carried over to both tables.
+Components that have one split keep it, new ones fill what the proportions
+lack, and components merged from different splits are quarantined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.storage import written
@@ -35,7 +39,7 @@ def components_by_keys(df: DataFrame, id: str, keys: list[Column], existing: Dat
         links = part.join(least, "k").where("id <> root").select("id", "root")
         star = links if star is None else star.unionByName(links)
     if existing is not None:
-        old = existing.select("id", F.col("component").alias("root")).where("id <> root")
+        old = existing.where("id <> component").select(F.greatest("id", "component").alias("id"), F.least("id", "component").alias("root"))
         star = old if star is None else star.unionByName(old)
         rows = rows.select("id").union(existing.select("id")).union(existing.select(F.col("component").alias("id")))
     edges = written(star.distinct())
@@ -55,6 +59,41 @@ def components_by_keys(df: DataFrame, id: str, keys: list[Column], existing: Dat
     raise RuntimeError(f"components did not settle within {rounds} rounds")
 
 
+@dataclass
+class Components:
+    """records: (id, component, split), each id once; keys: (key, component), each key once. Write both to keep them."""
+
+    records: DataFrame
+    keys: DataFrame
+
+    def written(self) -> Components:
+        return Components(written(self.records), written(self.keys))
+
+
+def updated(rows: DataFrame, id: str, keys: list[Column], split: str, state: Components | None = None) -> Components:
+    """The component tables with the delivered rows (id, split and what the keys are made of) added.
+
+    Without a state the rows are the first delivery. An id delivered again
+    takes its new split and adds its new keys to those it had: components
+    grow and merge, they are never parted. Null ids are dropped.
+    """
+    named = [F.when(k.isNotNull(), F.to_json(F.struct(F.lit(i).alias("n"), k.alias("k")))) for i, k in enumerate(keys)]
+    new = rows.where(F.col(id).isNotNull()).select(F.col(id).cast("string").alias("id"), F.col(split).alias("split"), F.array_compact(F.array(*named)).alias("ks"))
+    keyed = new.select("id", F.explode("ks").alias("key")).distinct()
+    old = None
+    if state is not None:
+        old = written(keyed.join(state.keys, "key").select("id", "component").union(new.select("id").join(state.records.select("id", "component"), "id")).distinct())
+    comp = components_by_keys(rows, id, keys, old)
+    records = new.groupBy("id").agg(F.max("split").alias("split")).join(comp, "id").select("id", "component", "split")
+    table = keyed.join(comp, "id").groupBy("key").agg(F.min("component").alias("component"))
+    if state is None:
+        return Components(records, table)
+    moved = comp.select(F.col("id").alias("component"), F.col("component").alias("now")).where("component <> now")
+    now = lambda df: df.join(moved, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+    kept = now(state.records.join(new.select("id"), "id", "left_anti")).select("id", "component", "split")
+    return Components(kept.union(records), now(state.keys.join(keyed.select("key"), "key", "left_anti")).select("key", "component").union(table))
+
+
 def assign_splits(table: DataFrame, proportions: dict[str, float] | None = None, seed: int = 17012) -> DataFrame:
     """(id, component, old_split, split, state) from (id, component, split); no component gets two splits.
 
@@ -84,8 +123,6 @@ def assign_splits(table: DataFrame, proportions: dict[str, float] | None = None,
     bucket = F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(BUCKETS))
     free = comps.where("state <> 'kept'").withColumn("bucket", bucket)
     sums = free.groupBy("bucket").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
     w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
     sums = sums.select("bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
     inner = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 1), "component"), "component").rowsBetween(Window.unboundedPreceding, -1)

@@ -85,8 +85,7 @@ def _components(spark: S, sf: str) -> D:
     rows = records(spark, sf, "source", "source_record_id", "dedup_cluster_id", "split")
     rows = written(rows.select("document_id", "source", "source_record_id", F.nullif(F.lower(F.regexp_extract("dedup_cluster_id", r"(?i)(?<![0-9a-f])([0-9a-f]{16})(?![0-9a-f])", 1)), F.lit("")).alias("cluster"), split_name().alias("split")))
     same = F.when(F.col("source").isNotNull() & F.col("source_record_id").isNotNull(), F.struct("source", "source_record_id"))
-    comp = groupsplit.components_by_keys(rows, "document_id", [F.col("cluster"), same])
-    return comp.join(rows.select(F.col("document_id").alias("id"), "split"), "id")
+    return groupsplit.updated(rows, "document_id", [F.col("cluster"), same], "split").records
 
 
 def p6_found(spark: S, sf: str) -> D:

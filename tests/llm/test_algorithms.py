@@ -331,6 +331,25 @@ def test_group_splits_keep_related_rows_together(spark):
     assert again["x1"] == again["x0"] == again["r0001"] == min(again["r0001"], "x0")
 
 
+def test_deliveries_give_what_one_run_gives(spark):
+    rng = random.Random(12)
+    rows = [(f"r{i:03d}", f"k{rng.randrange(260)}" if rng.random() < 0.6 else None, f"m{rng.randrange(300)}", rng.choice(["train", "train", "test", None])) for i in range(300)]
+    rng.shuffle(rows)
+    kind = "id string, k string, m string, split string"
+    keys = [F.col("k"), F.struct(F.lit("s"), "m")]
+    table_of = lambda df: {r.id: (r.component, r.split) for r in df.collect()}
+    once = groupsplit.updated(spark.createDataFrame(rows, kind), "id", keys, "split")
+    state = None
+    for part in (rows[:150], rows[150:240], rows[240:]):
+        state = groupsplit.updated(spark.createDataFrame(part, kind), "id", keys, "split", state).written()
+        assert state.records.count() == state.records.select("id").distinct().count()
+    assert table_of(state.records) == table_of(once.records)
+    assert sorted(map(tuple, state.keys.collect())) == sorted(map(tuple, once.keys.collect()))
+    again = groupsplit.updated(spark.createDataFrame([(rows[0][0], "fresh", None, "probe"), (None, "fresh", None, None)], kind), "id", keys, "split", state)
+    got = table_of(again.records)
+    assert got[rows[0][0]] == (table_of(once.records)[rows[0][0]][0], "probe") and len(got) == 300
+
+
 def test_new_components_follow_the_proportions(spark):
     df = spark.range(4000).select(F.concat(F.lit("c"), "id").alias("id"), F.concat(F.lit("c"), "id").alias("component"), F.lit(None).cast("string").alias("split"))
     n = {r.split: r["count"] for r in groupsplit.assign_splits(df).groupBy("split").count().collect()}
@@ -360,6 +379,15 @@ def test_leaked_passages(spark):
     assert evalleak.leaked_passages(d.limit(0), i).count() == 0 and evalleak.leaked_passages(d, i.limit(0)).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("aé ﬁ①ﾊﾞび̈́İ한글한.-", max_size=20), st.text("한゙́ab ", max_size=20))
+def test_places_stay_near_their_passage(before, after):
+    item = "An item of just over forty eight letters and digits stands here."
+    text = before + " " + item + " " + after
+    (where,) = evalleak.leaks_in(text, [(1, evalleak.normal(item))], evalleak.automaton([(1, evalleak.normal(item))])).values()
+    assert abs(where[0] - text.index(item)) <= 3 and abs(where[1] - (text.index(item) + len(item) - 1)) <= 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("aéÉ ﬁ①ﾊﾞび゙̈́İ한글ᄒ.-", max_size=30))
 def test_origins_have_a_place_for_every_character(text):
@@ -442,6 +470,20 @@ def test_sentences_cover_every_character(spark):
         assert all(n == 1 or n == 0 and ch.isspace() for n, ch in zip(seen, t or "")), (i, t)
 
 
+def test_sentence_rules_have_no_lengths(spark):
+    words_ = "λέξη " * 400
+    texts = [f"{words_}τέλος; Μετά.", "Head\n" + " " * 30 + "12) One. Two\nmore (" + "a " * 200 + "\n 12) kept. here) end. Last.", "(a. " * 2000 + "End. Last."]
+    got = {}
+    for r in sentences.sentence_units(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_text=True).collect():
+        got.setdefault(r.id, []).append((r.start_pos, r.unit))
+    assert [u for _, u in sorted(got[0])] == [words_ + "τέλος;", "Μετά."]
+    assert [u for _, u in sorted(got[1])][:2] == ["Head", "12) One. Two"] and sorted(got[1])[-1][1] == "Last." and len(got[1]) == 4
+    assert sorted(got[2])[-1][1] == "Last."
+    many = " ".join(f"Sentence number {i} is here." for i in range(3000))
+    places = sorted((r.start_pos, r.end_pos) for r in sentences.sentence_units(spark.createDataFrame([(1, many)], "doc_id long, text string")).collect())
+    assert len(places) == 3000 and all(many[a:b] == f"Sentence number {i} is here." for i, (a, b) in enumerate(places))
+
+
 def test_normal_form():
     assert evalleak.normal("Ｗhy: “ﬁve” É 5½?") == "".join(c for c in unicodedata.normalize("NFKC", "Ｗhy: “ﬁve” É 5½?").lower() if c.isalnum())
 
