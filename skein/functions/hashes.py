@@ -41,6 +41,7 @@ def keyed_split(key: str, algorithm: str, group: Column, bounds=FIVE_WAY) -> Col
     return out
 
 
+# The generator and its ranges, so that signatures equal those made elsewhere.
 def minhash_coefficients(n: int = 64, seed: int = 17012) -> list[tuple[int, int]]:
     rng = random.Random(seed)
     return [(rng.randrange(1, (1 << 32) - 1), rng.randrange(0, (1 << 32) - 1)) for _ in range(n)]

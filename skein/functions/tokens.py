@@ -29,8 +29,8 @@ def token_ids(text: Column, path: str = TOKENIZER) -> Column:
     """The text's token ids; null stays null."""
 
     def run(texts: pd.Series) -> pd.Series:
-        encode = encoding(path).encode_ordinary
-        return texts.map(lambda t: None if t is None else encode(t))
+        made = iter(encoding(path).encode_ordinary_batch([t for t in texts if t is not None], num_threads=1))
+        return pd.Series([None if t is None else next(made) for t in texts], dtype=object)
 
     return F.pandas_udf(run, "array<int>")(text)
 
@@ -49,8 +49,7 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
     """How many tokens the text has; 0 for null. Ids stay in Python."""
 
     def run(texts: pd.Series) -> pd.Series:
-        encode = encoding(path).encode_ordinary
-        return texts.map(lambda t: len(encode(t)))
+        return pd.Series(list(map(len, encoding(path).encode_ordinary_batch(texts.tolist(), num_threads=1))), dtype="int64")
 
     return F.pandas_udf(run, "long")(F.coalesce(text, F.lit("")))
 

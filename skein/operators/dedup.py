@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import hashes as H
 from skein.functions import text as X
 from skein.operators.components import connected_components
+from skein.storage import written
 
 
 def exact_edges(df: DataFrame, id: str = "document_id", digest: str = "sha") -> DataFrame:
@@ -138,14 +139,16 @@ def split_overlaps(rows: DataFrame, blocks: DataFrame, least_blocking: int = 400
     of least_blocking characters; clusters lists the first of the common ones.
     """
 
-    def common(df: DataFrame, key: str, name: str, more: list[Column] = []) -> DataFrame:
-        d = df.where(F.col(key).isNotNull() & F.col("split").isNotNull()).groupBy("split", key).agg(F.lit(1).alias("one"), *([F.max("chars").alias("chars")] if more else []))
+    def common(df: DataFrame, key: str, more: list[Column] = []) -> DataFrame:
+        d = df.where(F.col(key).isNotNull() & F.col("split").isNotNull()).groupBy("split", key).agg(F.lit(1).alias("one"), *more)
         b = d.select(F.col("split").alias("pool_b"), key)
-        out = d.withColumnRenamed("split", "pool_a").join(b, key).where("pool_a < pool_b").groupBy("pool_a", "pool_b")
-        return out.agg(F.count("*").alias(name), *more) if more else out.agg(F.count("*").alias(name), F.slice(F.sort_array(F.collect_set(key)), 1, listed).alias("clusters"))
+        return d.withColumnRenamed("split", "pool_a").join(b, key).where("pool_a < pool_b")
 
-    a = common(rows, "cluster", "cluster_overlap")
-    b = common(blocks, "hash", "block_overlap", [F.count_if(F.col("chars") >= least_blocking).alias("substantial_overlap")])
+    met = written(common(rows, "cluster").select("pool_a", "pool_b", "cluster"))
+    first = met.withColumn("__r", F.row_number().over(Window.partitionBy("pool_a", "pool_b").orderBy("cluster"))).where(F.col("__r") <= listed)  # each task keeps `listed` before rows are moved
+    names = first.groupBy("pool_a", "pool_b").agg(F.array_sort(F.collect_list("cluster")).alias("clusters"))
+    a = met.groupBy("pool_a", "pool_b").agg(F.count("*").alias("cluster_overlap")).join(names, ["pool_a", "pool_b"])
+    b = common(blocks, "hash", [F.max("chars").alias("chars")]).groupBy("pool_a", "pool_b").agg(F.count("*").alias("block_overlap"), F.count_if(F.col("chars") >= least_blocking).alias("substantial_overlap"))
     both = a.join(b, ["pool_a", "pool_b"], "full")
     n = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return both.select("pool_a", "pool_b", n("cluster_overlap"), n("block_overlap"), n("substantial_overlap"), F.array_join(F.coalesce("clusters", F.array().cast("array<string>")), ",").alias("clusters"), (F.coalesce("cluster_overlap", "substantial_overlap", F.lit(0)) + F.coalesce("substantial_overlap", F.lit(0)) > 0).alias("leaked"))

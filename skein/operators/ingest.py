@@ -101,8 +101,8 @@ def latest_before(df: DataFrame, key: str, at: str, cutoff: Column, values: list
 def extracted(df: DataFrame, source: str = "source", raw: str = "raw_text", format: str = "text_format") -> DataFrame:
     """df with extracted: the raw text as prose, by format and kind of source.
 
-    Each kind is parsed on its own part of the rows, so that no row goes
-    through a Python parser that it doesn't need.
+    One pass: a parser in Python is given null, which it skips, for rows that
+    don't need it.
     """
     kind = (
         F.when(F.coalesce(F.col(format), F.lit("")) == "dump_plaintext", "plain")
@@ -111,25 +111,53 @@ def extracted(df: DataFrame, source: str = "source", raw: str = "raw_text", form
         .otherwise("other")
     )
     rows = df.withColumn("__kind", kind)
-    parts = {"plain": X.cut_trailing_sections(F.col(raw)), "wiki": wikitext_prose(F.col(raw)), "html": html_prose(F.col(raw)), "other": F.col(raw)}
-    out = None
-    for k, c in parts.items():
-        part = rows.where(F.col("__kind") == k).withColumn("extracted", c)
-        out = part if out is None else out.unionByName(part)
-    return out.drop("__kind")
+    of = lambda k: F.when(F.col("__kind") == k, F.col(raw))
+    parsed = rows.withColumns({"__wiki": wikitext_prose(of("wiki")), "__html": html_prose(of("html"))})
+    plain = F.when(F.col("__kind") == "plain", X.cut_trailing_sections(F.col(raw)))
+    return parsed.withColumn("extracted", F.coalesce(plain, "__wiki", "__html", of("other"))).drop("__kind", "__wiki", "__html")
 
 
-def sections(df: DataFrame, tree: str, depth: int = 8) -> DataFrame:
-    """(id, title, position) of the leaves of nested contents trees in JSON, to the given depth; titles without tags."""
+def sections(df: DataFrame, tree: str) -> DataFrame:
+    """(id, title, position) of the leaves of nested contents trees in JSON, however deep; titles without tags."""
     node = "struct<id:string,title:string,contents:array<string>>"
-    now = df.select(F.from_json(F.col(tree), node).alias("n"), F.array().cast("array<int>").alias("path"))
-    leaves = None
-    for _ in range(depth):
-        leaf = now.where("n.contents is null and n.id is not null").select("n.id", "n.title", "path")
-        leaves = leaf if leaves is None else leaves.union(leaf)
-        now = now.where("n.contents is not null").select("path", F.posexplode("n.contents").alias("i", "c")).select(F.from_json("c", node).alias("n"), F.concat("path", F.array("i")).alias("path"))
-    title = F.trim(F.regexp_replace(F.regexp_replace("title", "<[^>]*>", ""), "\n", " "))
-    return leaves.select("id", title.alias("title"), F.array_join(F.transform("path", lambda i: F.lpad(i.cast("string"), 4, "0")), ".").alias("position"))
+    now = written(df.select(F.from_json(F.col(tree), node).alias("n"), F.array().cast("array<int>").alias("path")))
+    leaves = now.where("n.contents is null and n.id is not null")
+    while True:
+        inner = now.where("n.contents is not null").select("path", F.posexplode("n.contents").alias("i", "c"))
+        now = written(inner.select(F.from_json("c", node).alias("n"), F.concat("path", F.array("i")).alias("path")))
+        if not now.limit(1).count():
+            break
+        leaves = leaves.union(now.where("n.contents is null and n.id is not null"))
+    title = F.trim(F.regexp_replace(F.regexp_replace("n.title", "<[^>]*>", ""), "\n", " "))
+    return leaves.select("n.id", title.alias("title"), F.array_join(F.transform("path", lambda i: F.lpad(i.cast("string"), 4, "0")), ".").alias("position"))
+
+
+def section_records(leaves: DataFrame, pages: DataFrame, source: str, edition: str, retrieved_at: str) -> DataFrame:
+    """Leaf sections (id, title, position) and their pages (id, url, html) as records, in the order of the book; sections without a page have none."""
+    rows = leaves.join(pages.select("id", "url", "html"), "id").where(F.col("html").isNotNull())
+    return rows.select(
+        X.safe_id(F.lit(source), F.concat("id", F.lit(f"_{edition}"))).alias("document_id"),
+        F.lit(source).alias("source"),
+        F.col("id").alias("source_record_id"),
+        "title",
+        F.col("url").alias("canonical_url"),
+        F.lit(edition).alias("revision_id"),
+        F.lit(retrieved_at).alias("retrieved_at"),
+        F.col("html").alias("raw_text"),
+        H.sha256(F.col("html")).alias("raw_sha256"),
+        "position",
+    )
+
+
+def latest_by_title(df: DataFrame, payload: str, titles: DataFrame, source: str, retrieved_at: str) -> DataFrame:
+    """(requested, records): the record each requested title comes to, through normalisations and redirects; titles without one are left out.
+
+    Of several payloads with one title the latest revision counts.
+    """
+    good, _ = payload_records(df, payload, source, retrieved_at)
+    one = good.groupBy("title").agg(F.max_by(F.struct(*good.columns), F.struct("published_at", "revision_id", "document_id")).alias("r"))
+    reached = resolved_titles(df, payload, titles)
+    return reached.join(one, F.col("resolved") == one["title"]).select(reached["title"].alias("requested"), "r.*")
 
 
 def category_walk(listing: DataFrame, root: str, max_depth: int, excluded: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -88,6 +88,13 @@ def order_sweep(train: DataFrame, held_out: DataFrame, id: str, tokens: str, ord
     return out
 
 
+def segments(windows: DataFrame) -> DataFrame:
+    """(window, segment, document_id, w): each document's part of each packed window, as tokens; pads are left out."""
+    z = F.arrays_zip(F.col("input_ids").alias("t"), F.col("segment_ids").alias("s"))
+    parts = F.transform("document_ids", lambda d, i: F.struct(i.alias("segment"), d.alias("document_id"), F.transform(F.filter(z, lambda x: x["s"] == i), lambda x: x["t"].cast("string")).alias("w")))
+    return windows.select("window", F.inline(parts))
+
+
 def add_k_scores(train: DataFrame, held_out: DataFrame, id: str, tokens: str, order: int, vocabulary: int, k: float = 0.1) -> DataFrame:
     """(id, targets, nll) under (count + k) / (context count + k * vocabulary).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.probes import RANGES
+from skein.storage import written
 
 WIDTH = 256
 
@@ -17,18 +17,16 @@ def byte_shares(tokens: Column, utf8_bytes: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: (base + F.when(i < more, 1).otherwise(0)).cast("long"))).otherwise(F.array().cast("array<long>"))
 
 
-def offsets(df: DataFrame, key: str, size: Column, ranges: int = RANGES) -> DataFrame:
-    """df with `offset`: the sum of size over all rows before it in the order of the key (a string).
+def offsets(df: DataFrame, key: str, size: Column, ranges: int | None = None) -> DataFrame:
+    """df with `offset`: the sum of size over all rows before it in the order of the key, which is of any kind that can be ordered.
 
-    Rows are spread over ranges of the key's sampled order; the ranges' sums
-    are added up first, then each range's own rows.
+    Rows are spread over ranges of the key's sampled order, as many as there
+    are shuffle partitions or as `ranges` says if that is more; the ranges'
+    sums are added up first, then each range's own rows.
     """
     rows = df.withColumn("__n", size.cast("long"))
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(ranges or 0, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(parts, key).withColumn("__p", F.spark_partition_id())
-    from skein.storage import written
-
     kept = written(ranged)
     per = kept.groupBy("__p").agg(F.sum("__n").alias("__s"))
     before = per.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__b"))

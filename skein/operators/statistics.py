@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.storage import written
+
 LN2 = math.log(2)
 RANGES = 4096
 RESAMPLES = 10_000
@@ -27,18 +29,21 @@ def metric_block(df: DataFrame, by: list[str], nll: str = "nll_nats", tokens: st
 def cumulative(df: DataFrame, by: list[str], at: str, values: list[str], ranges: int = RANGES) -> DataFrame:
     """df, one row a (by, at), with below_<value>: the sums over all rows of `by` with a smaller `at`.
 
-    The axis of each group is cut into ranges; whole ranges are summed first,
-    and only within a range are rows sorted, so one large group isn't one task.
+    Rows are spread over ranges of (by, at) at sampled bounds, so skewed
+    values fill ranges evenly and one large group isn't one task. Whole ranges
+    are summed up first, only within a range are rows sorted.
     """
-    span = df.groupBy(*by).agg(F.min(at).alias("__lo"), F.max(at).alias("__hi"))
-    r = F.least(F.lit(ranges - 1), F.floor((F.col(at) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * ranges))
-    rows = df.join(span, by).withColumn("__r", F.coalesce(r, F.lit(0))).drop("__lo", "__hi")
+    parts = min(ranges, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = written(df.repartitionByRange(parts, *by, at).withColumn("__r", F.spark_partition_id()))
     per = rows.groupBy(*by, "__r").agg(*(F.sum(v).alias(f"__{v}") for v in values))
-    w = Window.partitionBy(*by).orderBy("__r")
-    before = per.select(*by, "__r", *((F.sum(f"__{v}").over(w) - F.col(f"__{v}")).alias(f"__b_{v}") for v in values))
+    w = Window.partitionBy(*by).orderBy("__r")  # at most one row a range
+    before = per.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.col("__r").alias("__q"), *((F.sum(f"__{v}").over(w) - F.col(f"__{v}")).alias(f"__b_{v}") for v in values))
     inner = Window.partitionBy(*by, "__r").orderBy(at)
-    out = rows.join(before, [*by, "__r"])
-    return out.withColumns({f"below_{v}": F.col(f"__b_{v}") + F.sum(v).over(inner) - F.col(v) for v in values}).drop("__r", *(f"__b_{v}" for v in values))
+    same = F.col("__r") == F.col("__q")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    out = rows.join(before, same)
+    return out.withColumns({f"below_{v}": F.col(f"__b_{v}") + F.sum(v).over(inner) - F.col(v) for v in values}).drop("__r", "__q", *(f"__by_{c}" for c in by), *(f"__b_{v}" for v in values))
 
 
 def membership_auc(df: DataFrame, by: list[str], score: Column, member: str) -> DataFrame:
@@ -132,10 +137,11 @@ def weighted_adjustment(df: DataFrame, size: str, similarity: str, factor: float
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, tie: str) -> DataFrame:
-    """(by, n, rho): correlation of ranks without ties; equal values are ranked by `tie`."""
-    w = lambda c: Window.partitionBy(*by).orderBy(c, tie)  # noqa: E731  groups are runs or groups of them: small
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.row_number().over(w(x)).alias("rx"), F.row_number().over(w(y)).alias("ry"))
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    """(by, n, rho): correlation of ranks without ties; equal values are ranked by `tie`, which no two rows of a group share. A null group is one."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.struct(x, tie).alias("__x"), F.struct(y, tie).alias("__y"), F.lit(1).alias("__one"))
+    for c in ("__x", "__y"):
+        rows = cumulative(rows, by, c, ["__one"]).withColumn(f"r{c}", F.col("below___one").cast("double")).drop("below___one")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("r__x", "r__y").alias("rho"))
 
 
 def spearman_permutation(df: DataFrame, by: list[str], x: str, y: str, tie: str, resamples: int = RESAMPLES, seed: int = 17012) -> DataFrame:
@@ -173,6 +179,17 @@ def lower_percentile(sorted_values: Column, share: float) -> Column:
     return F.get(sorted_values, F.floor(F.lit(share) * (F.size(sorted_values) - 1)).cast("int"))
 
 
+def bootstrap_mean(df: DataFrame, key: str, value: str, resamples: int = 1000, low: float = 0.025, high: float = 0.975, seed: int = 17012) -> DataFrame:
+    """(n, mean, low, high): the mean of the value and the draws at the floor of share * (resamples - 1) in order.
+
+    Rows are units of their own; null values are left out. Draws as in bootstrap_sums.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("__v"), F.lit(1.0).alias("__one"))
+    draws = bootstrap_sums(rows, key, ["__v", "__one"], resamples, seed).select((F.col("__v") / F.nullif("__one", F.lit(0.0))).alias("m"))
+    ends = draws.agg(F.sort_array(F.collect_list("m")).alias("s"))  # one number a resample
+    return rows.agg(F.count("*").alias("n"), F.avg("__v").alias("mean")).crossJoin(ends.select(lower_percentile(F.col("s"), low).alias("low"), lower_percentile(F.col("s"), high).alias("high")))
+
+
 def bootstrap_sums(df: DataFrame, cluster: str, values: list[str], resamples: int = RESAMPLES, seed: int = 17012) -> DataFrame:
     """(resample, <values>): weighted sums over clusters for every resample.
 

@@ -179,3 +179,24 @@ def nearest_scenario(spark: S, sf: str) -> D:
     """The size scenario nearest to each run's tokens on a log scale."""
     t = audits(spark, sf).groupBy("run_name").agg(F.sum("tokens").alias("t"))
     return ST.nearest_scale(t, F.col("t").cast("double"), {"a_small": 1000.0, "b_medium": 10000.0, "c_large": 100000.0}).select("run_name", F.lit(3).cast("long").alias("n"), "scenario")
+
+
+@query(f"WITH {ROWS_SQL}, o AS (SELECT run_name, CASE WHEN tokens >= 96 THEN bpb < 1.0 END AS got FROM u WHERE is_member) SELECT run_name, count(got) AS eligible, count(*) FILTER (got) AS extracted, round(count(*) FILTER (got)::DOUBLE / nullif(count(got), 0), 6) AS rate FROM o GROUP BY run_name")
+def extractability_rate(spark: S, sf: str) -> D:
+    """Members of 96 tokens and more that cost less than one bit a byte: stands for outcomes of decoding, which the table doesn't have."""
+    rows = audits(spark, sf).where("is_member").select("run_name", F.when(F.col("tokens") >= 96, F.col("bpb") < 1.0).alias("got"))
+    return ST.extractability(rows, ["run_name"], "got").withColumn("rate", F.round("rate", 6))
+
+
+@query()
+def mean_bpb_interval(spark: S, sf: str) -> D:
+    """Mean bits per byte of the audit rows, and its interval by resampling rows."""
+    m = ST.bootstrap_mean(audits(spark, sf), "audit_row_id", "bpb")
+    return m.select("n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
+@query(f"WITH {ROWS_SQL}, d AS (SELECT probe_group AS g, {_X} AS x, bpb AS y FROM u WHERE probe_group IS NOT NULL), s AS (SELECT g, sum(x * y) AS xy, sum(x * x) AS xx, avg(x) AS mx, avg(y) AS my FROM d WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY g), t AS (SELECT sum(xy) AS txy, sum(xx) AS txx FROM s), l AS (SELECT round((txy - xy) / nullif(txx - xx, 0) * mx, 6) AS predicted, round(my, 6) AS observed FROM s, t) SELECT count(*) AS groups, round(avg(abs(predicted - observed)), 6) AS mae, round(regr_slope(observed, predicted), 6) AS calibration_slope FROM l")
+def calibrated_leakage(spark: S, sf: str) -> D:
+    """How well the slope of the other groups predicts each group: mean error and slope of observed on predicted."""
+    c = ST.calibration_summary(leave_one_group_out(spark, sf))
+    return c.select("groups", *(F.round(x, 6).alias(x) for x in ("mae", "calibration_slope")))

@@ -13,6 +13,7 @@ from skein.functions import text as X
 from skein.operators import dedup, ingest
 from skein.operators import quality as Q
 from skein.sources.manifest import SPLITS, SplitReader, contract_violations, manifest_view, records, split_name
+from skein.sources.jsonl import pending
 from skein.sources.tables import table
 from skein.storage import written
 
@@ -296,7 +297,15 @@ def excluded_view(spark: S, sf: str) -> D:
     return records(spark, sf, "source", "split", "rejection_reasons").where(split_name() == "excluded").select("document_id", "source", F.array_join("rejection_reasons", ",").alias("reasons"))
 
 
-@query()
+_REQUIRED = ["document_id", "source", "source_record_id", "title", "canonical_url", "revision_id", "retrieved_at", "author_attribution", "license_id", "license_url", "rights_notes", "raw_sha256", "clean_sha256", "pipeline_version", "language_score", "quality_flags", "dedup_cluster_id", "split"]
+
+
+@query(
+    "SELECT * FROM (SELECT 'document_id_form' AS rule, count(*) FILTER (NOT regexp_matches(document_id, '^doc_[a-z0-9_]+_[A-Za-z0-9._-]+$')) AS violations FROM astronomy_sample "
+    + "".join(f"UNION ALL SELECT '{c}_form', count(*) FILTER (NOT regexp_matches({c}, '^[0-9a-f]{{64}}$')) FROM astronomy_sample " for c in ("raw_sha256", "clean_sha256"))
+    + f"UNION ALL SELECT 'language_score_range', count(*) FILTER (NOT language_score BETWEEN 0 AND 1) FROM astronomy_sample UNION ALL SELECT 'split_name', count(*) FILTER (split NOT IN {SPLIT_LIST}) FROM astronomy_sample "
+    + "UNION ALL SELECT 'missing_required', count(*) FILTER (" + " OR ".join(f"{c} IS NULL" for c in _REQUIRED) + ") FROM astronomy_sample)"
+)
 def manifest_contract(spark: S, sf: str) -> D:
     return contract_violations(table(spark, sf, "astronomy_sample"))
 
@@ -315,11 +324,12 @@ def allowlisted_sources(spark: S, sf: str) -> D:
     return records(spark, sf, "source").join(dim, "source", "left_semi").groupBy("source").agg(F.count("*").alias("documents"))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT title, min(document_id) AS document_id FROM category_listing WHERE ns = 0 AND document_id IS NOT NULL AND document_id NOT IN (SELECT document_id FROM rec) GROUP BY title")
+@query(f"WITH {RECORDS_SQL} SELECT title, min(document_id) AS document_id FROM category_listing WHERE ns = 0 AND document_id IS NOT NULL AND document_id NOT IN (SELECT document_id FROM rec WHERE text IS NOT NULL AND lower(trim(split)) <> 'excluded') GROUP BY title")
 def pending_anti_join(spark: S, sf: str) -> D:
-    """Listed documents that were never collected."""
-    done = table(spark, sf, "astronomy_sample").select("document_id")
-    return table(spark, sf, "category_listing").where("ns = 0 and document_id is not null").join(done, "document_id", "left_anti").groupBy("title").agg(F.min("document_id").alias("document_id"))
+    """Listed documents whose text isn't in the corpus yet: not delivered, without text, or left out."""
+    done = records(spark, sf, "split", "text").where((split_name() != "excluded") & F.col("text").isNotNull())
+    wanted = table(spark, sf, "category_listing").where("ns = 0 and document_id is not null")
+    return pending(wanted, done, "document_id").groupBy("title").agg(F.min("document_id").alias("document_id"))
 
 
 @query("SELECT source, source_record_id, strftime(max(p) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS published, arg_max(revision_id, (p, revision_id)) AS revision_id FROM (SELECT *, TRY_CAST(published_at AS TIMESTAMPTZ) AS p FROM astronomy_sample) WHERE p <= TIMESTAMPTZ '2022-01-01T00:00:00Z' AND revision_id IS NOT NULL GROUP BY source, source_record_id")
@@ -338,17 +348,32 @@ def event_props_json(spark: S, sf: str) -> D:
     return e.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-_DUMP = "dump AS (SELECT DISTINCT source_record_id AS id, title FROM astronomy_sample WHERE text IS NOT NULL), want AS (SELECT DISTINCT title FROM category_listing WHERE ns = 0)"
+_DUMP = "dump AS (SELECT DISTINCT source_record_id AS id, canonical_url AS url, title, text FROM astronomy_sample WHERE text IS NOT NULL), want AS (SELECT DISTINCT title FROM category_listing WHERE ns = 0)"
 
 
-@query(f"WITH {_DUMP} SELECT 'doc_dump_' || id || '_20231101' AS document_id, title, '2023-11-01T00:00:00Z' AS published_at FROM dump WHERE title IN (SELECT title FROM want) OR id IN (SELECT source_record_id FROM astronomy_sample WHERE source = 'comet_desk_wire')")
+@query(f"WITH {_DUMP} SELECT 'doc_dump_' || id || '_20231101' AS document_id, title, url AS canonical_url, '2023-11-01T00:00:00Z' AS published_at, sha256(text) AS raw_sha256 FROM dump WHERE title IN (SELECT title FROM want) OR id IN (SELECT source_record_id FROM astronomy_sample WHERE source = 'comet_desk_wire')")
 def dump_selection(spark: S, sf: str) -> D:
     """Dump rows by listed titles or by ids, as records with the dump's stamp."""
     rows = table(spark, sf, "astronomy_sample")
-    dump = rows.where("text is not null").select(F.col("source_record_id").alias("id"), F.lit("").alias("url"), "title", F.lit("").alias("text")).distinct()
+    dump = rows.where("text is not null").select(F.col("source_record_id").alias("id"), F.col("canonical_url").alias("url"), "title", "text").distinct()
     ids = rows.where("source = 'comet_desk_wire'").select(F.col("source_record_id").alias("id"))
     picked = ingest.select_dump(dump, ids, table(spark, sf, "category_listing").where("ns = 0").select("title"))
-    return ingest.dump_records(picked, "dump", "20231101.en", "0123456789abcdef", "2024-01-01T00:00:00Z").select("document_id", "title", "published_at")
+    return ingest.dump_records(picked, "dump", "20231101.en", "0123456789abcdef", "2024-01-01T00:00:00Z").select("document_id", "title", "canonical_url", "published_at", "raw_sha256")
+
+
+_PLAIN = "[" + ", ".join(f"'{n}'" for n in X.PLAIN_TRAILING_SECTIONS) + "]"
+
+
+@query(
+    f"WITH {RECORDS_SQL}, l AS (SELECT document_id, text, string_split(text, chr(10)) AS ln, list_transform(string_split(text, chr(10)), lambda x: lower({strip_sql('x')})) AS low FROM rec WHERE text IS NOT NULL), "
+    f"c AS (SELECT document_id, text, ln, list_min(list_filter(range(1, len(ln) + 1), lambda i: list_contains({_PLAIN}, low[i]) AND (i = 1 OR low[i - 1] = ''))) AS n FROM l) "
+    "SELECT document_id, md5(CASE WHEN n IS NULL THEN text ELSE coalesce(array_to_string(ln[1:n - 1], chr(10)), '') END) AS cut_md5, "
+    rf"md5(array_to_string(list_filter(ln, lambda x: NOT regexp_matches(x, '^\s*(\{{\||\|\}}|\|-|\|\+|!|\|)') AND NOT regexp_matches(x, '^\s*[*#|:;-]+\s*$')), chr(10))) AS lines_md5 FROM c"
+)
+def plain_text_rules(spark: S, sf: str) -> D:
+    """Texts up to their first trailing section, and without lines of tables and bullets."""
+    t = F.col("text")
+    return records(spark, sf, "text").where("text is not null").select("document_id", F.md5(X.cut_trailing_sections(t)).alias("cut_md5"), F.md5(X.drop_table_lines(t)).alias("lines_md5"))
 
 
 @query()

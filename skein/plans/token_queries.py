@@ -10,8 +10,8 @@ from skein.functions import text as X
 from skein.functions import tokens as K
 from skein.operators import ngrams, packing, probes
 from skein.operators import statistics as ST
-from skein.plans.corpus_queries import words_sql
-from skein.sources.manifest import SplitReader, records, split_name
+from skein.plans.corpus_queries import SPLIT_LIST, words_sql
+from skein.sources.manifest import SPLITS, SplitReader, records, split_name
 from skein.sources.tables import table
 from skein.storage import written
 
@@ -23,6 +23,10 @@ TOK = f"tok AS (SELECT document_id, lower(trim(split)) AS split, {words_sql('tex
 IDS = "list_transform(w, lambda x: length(x)::INTEGER)"
 
 
+_PARTS = ", ".join(f"coalesce(sum(('0x' || substr(h, {8 * i + 1}, 8))::UBIGINT), 0)::HUGEINT AS p{i}" for i in range(8))
+_DIGEST = "sha256(n || '|' || " + " || '|' || ".join(f"p{i}" for i in range(8)) + ")"
+
+
 def _tokens(spark: S, sf: str, split: str | None = None) -> D:
     rows = records(spark, sf, "split", "text").where("text is not null")
     rows = rows.where(split_name() == split) if split else rows
@@ -96,13 +100,53 @@ def kneser_ney_nll(spark: S, sf: str) -> D:
     return ngrams.kneser_ney_scores(_tokens(spark, sf, "validation"), "document_id", "w", tables, V).withColumn("nll", F.round("nll", 4))
 
 
-@query()
+def kneser_ney_sql(order: int, train: str, cases: str) -> str:
+    """Common table expressions up to p{order} (id, h, p): train has token lists w, cases (id, h) each case with its history."""
+    runs = lambda n: f"unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) ELSE []::VARCHAR[] END)"
+    out = [f"g{order} AS (SELECT gram, count(*) AS c FROM (SELECT {runs(order)} AS gram FROM {train}) GROUP BY gram)"]
+    for n in range(order - 1, 0, -1):
+        longer = f"g{order}" if n == order - 1 else f"(SELECT DISTINCT {runs(n + 1)} AS gram FROM {train})"
+        out.append(f"g{n} AS (SELECT {_TAIL} AS gram, count(*) AS c FROM {longer} GROUP BY 1)")
+    before = cases
+    for n in range(1, order + 1):
+        out.append(f"c{n} AS (SELECT {_HEAD} AS x, sum(c) AS total, count(*) AS types FROM g{n} GROUP BY 1)")
+        out.append(f"d{n} AS (SELECT CASE WHEN count(*) FILTER (c = 1) > 0 THEN count(*) FILTER (c = 1)::DOUBLE / (count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2)) ELSE 0.5 END AS d FROM g{n})")
+        at = f"array_to_string(e.h[len(e.h) - {n - 1}:], ' ')"
+        p = "e.p" if n > 1 else f"1.0::DOUBLE / {V}"
+        out.append(
+            f"p{n} AS (SELECT e.id, e.h, CASE WHEN len(e.h) >= {n} AND k.total IS NOT NULL THEN greatest(coalesce(q.c, 0) - dd.d, 0) / k.total + dd.d * k.types / k.total * {p} ELSE {p} END AS p FROM {before} e "
+            f"LEFT JOIN g{n} q ON len(e.h) >= {n} AND q.gram = {at} LEFT JOIN c{n} k ON len(e.h) >= {n} AND k.x = regexp_replace({at}, ' ?[^ ]+$', '') CROSS JOIN d{n} dd)"
+        )
+        before = f"p{n}"
+    return ", ".join(out)
+
+
+_REGISTERED = f"WITH {RECORDS_SQL}, {TOK}, tr AS (SELECT w FROM tok WHERE split = 'train'), v AS (SELECT document_id AS id, w, unnest(range(2, len(w) + 1)) AS i FROM tok WHERE split = 'validation' AND len(w) > 1), h AS (SELECT id, w[greatest(1, i - {REGISTERED - 1}):i] AS h FROM v), "
+
+
+@query(f"{_REGISTERED}{kneser_ney_sql(REGISTERED, 'tr', 'h')} SELECT id, count(*) AS targets, round(sum(-ln(p)), 4) AS nll FROM p{REGISTERED} GROUP BY id")
 def kneser_ney_registered_nll(spark: S, sf: str) -> D:
     """Validation records under the model of the registered order."""
     tables = ngrams.kneser_ney_tables(_tokens(spark, sf, "train"), "w", REGISTERED)
     return ngrams.kneser_ney_scores(_tokens(spark, sf, "validation"), "document_id", "w", tables, V).withColumn("nll", F.round("nll", 4))
 
 
+@query(
+    f"{_WINDOWS}, sg AS (SELECT x.\"window\", x.document_id, list(x.tok::VARCHAR ORDER BY pos) AS w FROM x JOIN rec USING (document_id) WHERE lower(trim(rec.split)) = 'validation' GROUP BY ALL), tr AS (SELECT list_concat(list_transform(ids, lambda t: t::VARCHAR), ['-1']) AS w FROM d JOIN rec USING (document_id) WHERE lower(trim(rec.split)) = 'train'), "
+    f"v AS (SELECT \"window\" AS id, w, unnest(range(2, len(w) + 1)) AS i FROM sg WHERE len(w) > 1), h AS (SELECT id, w[greatest(1, i - 2):i] AS h FROM v), {kneser_ney_sql(3, 'tr', 'h')} SELECT id AS \"window\", count(*) AS targets, round(sum(-ln(p)), 4) AS nll FROM p3 GROUP BY id"
+)
+def kneser_ney_window_nll(spark: S, sf: str) -> D:
+    """Packed windows of which validation records have a part, under a trigram model: histories end where a window or a segment begins."""
+    tokens = _tokens(spark, sf).select("document_id", F.transform("w", lambda x: F.length(x)).alias("ids"), "bytes")
+    split = written(records(spark, sf, "split").select("document_id", split_name().alias("split")))
+    named = F.transform(F.concat("ids", F.array(F.lit(-1))), lambda t: t.cast("string"))
+    train = tokens.join(split.where("split = 'train'"), "document_id").select(named.alias("w"))
+    parts = ngrams.segments(packing.pack(tokens, "document_id", "ids", "bytes", -1, -2)).join(split.where("split = 'validation'"), "document_id", "left_semi")
+    parts = written(parts.select(F.concat_ws(":", F.col("window").cast("string"), "segment").alias("part"), "w"))
+    scores = ngrams.kneser_ney_scores(parts, "part", "w", ngrams.kneser_ney_tables(train, "w", 3), V)
+    return scores.groupBy(F.substring_index("id", ":", 1).cast("long").alias("window")).agg(F.sum("targets").alias("targets"), F.round(F.sum("nll"), 4).alias("nll"))
+
+
 @query()
 def kneser_ney_order_sweep(spark: S, sf: str) -> D:
     """Held-out cost of orders 3 to 6; the least is the order to take."""
@@ -194,14 +238,18 @@ def fraction_subsets(spark: S, sf: str) -> D:
     return out
 
 
-@query()
+@query(f"WITH {RECORDS_SQL}, k AS (SELECT lower(trim(split)) AS split, sha256(document_id) AS h FROM rec), s AS (SELECT split, count(*) AS n, {_PARTS} FROM k WHERE split IN {SPLIT_LIST} GROUP BY split) SELECT split, n, {_DIGEST} AS digest FROM s")
 def training_set_digest(spark: S, sf: str) -> D:
     """Count and order-independent digest of each split's documents."""
-    out = None
-    for s in ("train", "validation", "test"):
-        d = probes.set_digest(records(spark, sf, "split").where(split_name() == s), "document_id").withColumn("split", F.lit(s))
-        out = d if out is None else out.union(d)
-    return out
+    rows = records(spark, sf, "split").select("document_id", split_name().alias("split")).where(F.col("split").isin(*SPLITS))
+    return probes.set_digest(rows, "document_id", ["split"])
+
+
+@query()
+def epoch_positions(spark: S, sf: str) -> D:
+    """Where training documents stand in the third epoch, with those of the probe set among them, from the hundredth place on."""
+    r = records(spark, sf, "split").select("document_id", split_name().alias("split"))
+    return probes.epoch_order(r.where("split = 'train'"), 3, 17012, r.where("split = 'probe'"), "document_id", 100)
 
 
 @query("SELECT * FROM (SELECT unnest(range(0, 100)) AS step) s, LATERAL (SELECT round(CASE WHEN step < 5 THEN (step + 1) / 5.0 WHEN step < 80 THEN 1.0 ELSE 0.1 + 0.9 * (1 - sqrt(least(1.0, (step - 80) / 20.0))) END, 9) AS multiplier)")
@@ -231,7 +279,10 @@ def sibling_audit(spark: S, sf: str) -> D:
     return out.withColumn("overlap", F.round("overlap", 6))
 
 
-@query()
+@query(
+    f"WITH {RECORDS_SQL}, r AS (SELECT lower(trim(split)) AS s, document_id, sha256(text) AS t FROM rec WHERE len({words_sql('text')}) >= 96), k AS (SELECT s, sha256(s || ':' || document_id || ':' || t) AS h FROM r WHERE s IN ('validation', 'test', 'probe', 'cloze_reserve')), "
+    f"g AS (SELECT coalesce(s, 'all') AS section, count(*) AS n, {_PARTS} FROM k GROUP BY ROLLUP (s)) SELECT section, n, {_DIGEST} AS digest FROM g"
+)
 def evaluation_bundle(spark: S, sf: str) -> D:
     """Counts and digests of the held-out sets of records with at least 96 words, and of all together."""
     r = records(spark, sf, "split", "text").where(X.word_count(F.col("text")) >= 96).select("document_id", split_name().alias("split"), F.sha2("text", 256).alias("sha256"))
@@ -263,7 +314,7 @@ def title_set_operations(spark: S, sf: str) -> D:
     return out
 
 
-@query(f"WITH {RECORDS_SQL} SELECT count(*) AS n FROM (SELECT document_id FROM rec WHERE lower(trim(split)) = 'train' LIMIT 500)")
+@query(f"WITH {RECORDS_SQL} SELECT document_id FROM rec WHERE lower(trim(split)) = 'train' ORDER BY sha256('17012|' || document_id), document_id LIMIT 500")
 def seeded_sample(spark: S, sf: str) -> D:
-    """500 training records, or all if there are fewer, the same in every run: how many there are."""
-    return probes.sampled(records(spark, sf, "split").where(split_name() == "train").select("document_id"), "document_id", 500, 17012).agg(F.count("*").alias("n"))
+    """500 training records, or all if there are fewer, the same in every run."""
+    return probes.sampled(records(spark, sf, "split").where(split_name() == "train").select("document_id"), "document_id", 500, 17012)

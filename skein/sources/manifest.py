@@ -11,7 +11,7 @@ from skein.sources.tables import table
 
 SPLITS = ("train", "validation", "test", "probe", "cloze_reserve", "excluded")
 _s, _a = T.StringType(), T.ArrayType(T.StringType())
-#: Manifest columns in order; text is kept apart.
+# The manifest's columns in order, and the names of splits; text is kept apart.
 MANIFEST = T.StructType(
     [
         *(T.StructField(c, _s) for c in ("document_id", "source", "source_record_id", "title", "canonical_url", "revision_id", "published_at", "retrieved_at")),

@@ -279,3 +279,65 @@ def test_copies_among_shuffled_documents_and_fractions(spark):
     assert {r.id for r in probes.fraction_subset(docs, 4, 7).collect()} == set(alone[:25])
     assert {r.id for r in probes.fraction_subset(docs, 8, 7).collect()} == set(alone[:12])
     assert probes.fraction_subset(docs.limit(3), 8, 7).count() == 1
+
+
+def test_sections_of_any_depth_and_their_records(spark):
+    tree = {"id": "leaf", "title": "<b>Deep</b>\nend"}
+    for n in range(12):
+        tree = {"id": f"n{n}", "title": f"Level {n}", "contents": [json.dumps({"id": f"l{n}", "title": f"Leaf {n}"}), json.dumps(tree)]}
+    leaves = ingest.sections(spark.createDataFrame([(json.dumps(tree),)], "t string"), "t")
+    got = {r.id: r for r in leaves.collect()}
+    assert set(got) == {"leaf", *(f"l{n}" for n in range(12))} and got["leaf"].title == "Deep end"
+    assert [r.id for r in sorted(got.values(), key=lambda r: r.position)][0] == "l11"
+    pages = spark.createDataFrame([("leaf", "u", "<p>x</p>"), ("l0", "v", None)], "id string, url string, html string")
+    (r,) = ingest.section_records(leaves, pages, "book", "2e", "2024-01-01T00:00:00Z").collect()
+    assert r.document_id == "doc_book_leaf_2e" and r.raw_text == "<p>x</p>"
+
+
+def test_latest_revision_by_requested_title(spark):
+    page = lambda rev, at: json.dumps({"query": {"pages": {"7": {"pageid": 7, "title": "Comet", "revisions": [{"revid": rev, "timestamp": at, "content": f"text {rev}"}]}}, "redirects": [{"from": "Comets", "to": "Comet"}], "normalized": [{"from": "comets", "to": "Comets"}]}})
+    df = spark.createDataFrame([(page(71, "2023-01-02T00:00:00Z"),), (page(72, "2023-02-02T00:00:00Z"),)], "p string")
+    titles = spark.createDataFrame([("comets",), ("Comet",), ("Nowhere",)], "title string")
+    got = {r.requested: r.revision_id for r in ingest.latest_by_title(df, "p", titles, "wiki", "now").collect()}
+    assert got == {"comets": "72", "Comet": "72"}
+
+
+def test_epochs_keep_the_order_of_documents(spark):
+    docs = spark.range(200).select(F.col("id").cast("string").alias("id"))
+    extras = spark.range(20).select(F.concat(F.lit("x"), "id").alias("id"))
+    order = lambda *a, **k: [r.id for r in sorted(probes.epoch_order(docs, *a, **k).collect(), key=lambda r: r.position)]
+    one, more = order(1, 5), order(1, 5, extras)
+    assert one == [i for i in more if not i.startswith("x")] and len(more) == 220
+    assert order(2, 5) != one and sorted(order(2, 5)) == sorted(one) and order(1, 5, extras, cursor=50) == more[50:]
+
+
+def test_offsets_over_rows_of_any_order(spark):
+    from skein.operators import packing
+
+    df = spark.createDataFrame([(i % 7, str(i), i) for i in range(300)], "a int, b string, n long")
+    got = packing.offsets(df.select(F.struct("a", "b").alias("k"), "n"), "k", F.col("n"), 16).collect()
+    total = 0
+    for r in sorted(got, key=lambda r: (r.k.a, r.k.b)):
+        assert r.offset == total
+        total += r.n
+
+
+def test_written_tables_end_with_their_scope(spark):
+    import os
+
+    from skein import storage
+
+    with storage.scope(spark):
+        t = storage.bucketed(spark.range(100).select("id", F.col("id").cast("string").alias("v")), "id")
+        w = storage.written(spark.range(5))
+        files = [f.removeprefix("file:").replace("//", "/") for f in t.inputFiles() + w.inputFiles()]
+        assert t.where("id = 7").first().v == "7" and w.count() == 5 and all(map(os.path.exists, files))
+    assert not any(map(os.path.exists, files))
+
+
+def test_mean_by_resampling(spark):
+    from skein.operators import statistics as ST
+
+    df = spark.range(400).select("id", F.when(F.col("id") < 390, (F.col("id") % 10).cast("double")).alias("v"))
+    r = ST.bootstrap_mean(df, "id", "v").first()
+    assert r.n == 390 and r.mean == pytest.approx(4.5) and r.low < 4.5 < r.high and 0.4 < r.high - r.low < 0.8

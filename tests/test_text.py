@@ -113,3 +113,16 @@ def test_unknown_source_fails(spark):
     df = spark.createDataFrame([("a",), ("b",)], "source string")
     with pytest.raises(Exception, match="unknown source: b"):
         Q.checked_source(df, dim).collect()
+
+
+def test_markup_that_never_ends_stays():
+    assert M.without_shut("a <!-- b <ref>c</ref> d") == "a <!-- b  d" and M.without_shut("a <ref name=x /> b <REF>c</Ref>d <gallery>e") == "a  b d <gallery>e"
+    assert M.without_shut("<!-- <ref> -->x<ref><!-- -->y</ref>z") == "xz"
+    assert M.prose_of_html("<nav><p>x</nav>a<nav>b<table>c</table>d</nav></nav>e<br/>f<sup>2</sup>") == "ae\nf^2"
+
+
+def test_sections_are_a_tree():
+    text = "lead\n== Notes ==\na\n==== Deep ====\nb\n=== Less ===\nc\n== Kept ==\nd\n=== SEE ALSO ===\ne\n== == \nf\n= x =\ng"
+    assert M.without_sections(text).split("\n") == ["lead", "== Kept ==", "d", "== == ", "f", "= x =", "g"]
+    assert M.heading("=== a == b ===  ") == (3, "a == b") and M.heading("== a") is None and M.heading("====") == (2, "")
+    assert [M.plain_line(x) for x in ("{| x", " | y", "! z", "**", "* a", "", "== T ==")] == [None, None, None, None, "* a", "", "T"]
