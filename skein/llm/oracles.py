@@ -28,6 +28,9 @@ g AS (SELECT source, key, count(DISTINCT document_id) AS n FROM k WHERE length(k
 n AS (SELECT source, count(*) AS total FROM rec GROUP BY source),
 h AS (SELECT g.source, g.key FROM g JOIN n USING (source) WHERE g.n >= 4 AND g.n >= 0.02 * total)"""
 _P3 = f"{_LINES} SELECT document_id, line_no FROM k JOIN h USING (source, key)"
+_P3_LINES = f"""{_LINES},
+d AS (SELECT DISTINCT k.source, k.key, rec.text, left(rec.published_at, 10) AS day, k.document_id FROM k JOIN h ON k.source IS NOT DISTINCT FROM h.source AND k.key = h.key JOIN rec USING (document_id))
+SELECT d.source, d.key AS letters, count(DISTINCT d.document_id) AS n_records, count(DISTINCT d.text) AS n_texts, count(DISTINCT d.day) AS n_days, any_value(n.total) AS source_records FROM d JOIN n ON n.source IS NOT DISTINCT FROM d.source GROUP BY d.source, d.key"""
 _P3_CLEANED = rf"""{_LINES},
 x AS (SELECT l.document_id, l.line_no, l.line, h.key IS NOT NULL AS hit FROM l JOIN k ON k.document_id = l.document_id AND k.line_no = l.line_no LEFT JOIN h ON h.source = k.source AND h.key = k.key),
 o AS (SELECT document_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT hit), '') AS text, count(*) FILTER (hit) AS removed FROM x GROUP BY document_id)
@@ -76,15 +79,23 @@ _P5 = f"WITH {_LEAKS} SELECT least(e, t) AS document_id_a, greatest(e, t) AS doc
 _P5_REPORT = f"""WITH {_LEAKS}, r AS (SELECT document_id AS e, lower(trim(split)) AS split, source FROM rec), c AS (SELECT e, count(*) AS k FROM leak GROUP BY e)
 SELECT split, source, count(*) AS eval_records, count(k) AS leaked_records, coalesce(sum(k), 0)::BIGINT AS pairs FROM r LEFT JOIN c USING (e) WHERE split IN {_HELD} GROUP BY split, source"""
 
+_P5_COVERAGE = rf"""WITH {_LEAKS},
+q AS (SELECT document_id AS e, v, unnest(range(1, len(v) - 3)) AS i FROM v WHERE document_id IN (SELECT e FROM leak)),
+o AS (SELECT leak.e, leak.t, q.i, lead(q.i) OVER (PARTITION BY leak.e, leak.t ORDER BY q.i) - q.i AS gap FROM leak JOIN q ON q.e = leak.e JOIN g ON g.document_id = leak.t AND g.g = array_to_string(q.v[q.i:q.i + 4], ' ')),
+a AS (SELECT e, t, sum(least(5, coalesce(gap, 5)))::BIGINT AS aligned FROM o GROUP BY e, t)
+SELECT leak.e AS document_id, lower(trim(rec.split)) AS split, rec.source, count(*) AS pairs, round(max(share), 6) AS best_share, max(aligned) AS aligned_words, max(len(v.v)) AS words FROM leak JOIN a USING (e, t) JOIN rec ON rec.document_id = leak.e JOIN v ON v.document_id = leak.e GROUP BY ALL"""
+
 ORACLES: dict[str, str] = {
     "p1_found": _P1,
     "p1_shared_coverage": _P1_COVERAGE,
     "p2_found": _P2,
     "p3_found": _P3,
+    "p3_repeated_lines": _P3_LINES,
     "p3_cleaned": _P3_CLEANED,
     "p4_found": _P4,
     "p4_groups": _P4_GROUPS,
     "p5_found": _P5,
     "p5_leak_report": _P5_REPORT,
+    "p5_coverage": _P5_COVERAGE,
     "p6_found": _P6,
 }

@@ -55,7 +55,9 @@ def p3_found(spark: S, sf: str) -> D:
 
 
 def p3_repeated_lines(spark: S, sf: str) -> D:
-    return boilerplate.repeated_lines(_lines(spark, sf))
+    rows = _lines(spark, sf)
+    found = written(boilerplate.repeated_lines(rows))
+    return boilerplate.named_lines(found, rows, records(spark, sf, "text"), "document_id", "text").drop("line")
 
 
 def p3_cleaned(spark: S, sf: str) -> D:
@@ -81,6 +83,13 @@ def p5_leak_report(spark: S, sf: str) -> D:
     return splitleak.leak_report(splitleak.leaking_pairs(c, 0.7), c.members.select("id", "split", "source"))
 
 
+def p5_coverage(spark: S, sf: str) -> D:
+    """Every evaluation record that leaks: its training partners, the greatest share of its set in one, and the most words aligned with one."""
+    c = corpus(spark, sf, split=split_name(), source=F.col("source"))
+    per = splitleak.leaking_pairs(c, 0.7).groupBy(F.col("eval_id").alias("id")).agg(F.count("*").alias("pairs"), F.max("share").alias("best_share"), F.max("aligned_words").alias("aligned_words"), F.max("eval_words").alias("words"))
+    return c.members.select(F.col("id").alias("document_id"), "split", "source").join(per.withColumnRenamed("id", "document_id"), "document_id")
+
+
 def _components(spark: S, sf: str) -> D:
     rows = records(spark, sf, "source", "source_record_id", "dedup_cluster_id", "split")
     rows = written(rows.select("document_id", "source", "source_record_id", F.nullif(F.lower(F.regexp_extract("dedup_cluster_id", r"(?i)(?<![0-9a-f])([0-9a-f]{16})(?![0-9a-f])", 1)), F.lit("")).alias("cluster"), split_name().alias("split")))
@@ -121,4 +130,4 @@ def p9_found(spark: S, sf: str) -> D:
     return sentences.sentence_units(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared_coverage, p2_found, p2_statistics, p3_found, p3_repeated_lines, p3_cleaned, p4_found, p4_groups, p5_found, p5_leak_report, p6_found, p6_assignment, p7_found, p7_passages, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared_coverage, p2_found, p2_statistics, p3_found, p3_repeated_lines, p3_cleaned, p4_found, p4_groups, p5_found, p5_leak_report, p5_coverage, p6_found, p6_assignment, p7_found, p7_passages, p8_mix, p8_shares, p9_found)}
