@@ -101,8 +101,9 @@ def latest_before(df: DataFrame, key: str, at: str, cutoff: Column, values: list
 def extracted(df: DataFrame, source: str = "source", raw: str = "raw_text", format: str = "text_format") -> DataFrame:
     """df with extracted: the raw text as prose, by format and kind of source.
 
-    One pass: a parser in Python is given null, which it skips, for rows that
-    don't need it.
+    The rows are written once, however they came about; each kind is parsed
+    on its own part of them, so that no row goes through a parser in Python
+    that it doesn't need.
     """
     kind = (
         F.when(F.coalesce(F.col(format), F.lit("")) == "dump_plaintext", "plain")
@@ -110,11 +111,13 @@ def extracted(df: DataFrame, source: str = "source", raw: str = "raw_text", form
         .when(F.col(source).contains("openstax") & F.col(raw).contains("<"), "html")
         .otherwise("other")
     )
-    rows = df.withColumn("__kind", kind)
-    of = lambda k: F.when(F.col("__kind") == k, F.col(raw))
-    parsed = rows.withColumns({"__wiki": wikitext_prose(of("wiki")), "__html": html_prose(of("html"))})
-    plain = F.when(F.col("__kind") == "plain", X.cut_trailing_sections(F.col(raw)))
-    return parsed.withColumn("extracted", F.coalesce(plain, "__wiki", "__html", of("other"))).drop("__kind", "__wiki", "__html")
+    rows = written(df.withColumn("__kind", kind))
+    parts = {"plain": X.cut_trailing_sections(F.col(raw)), "wiki": wikitext_prose(F.col(raw)), "html": html_prose(F.col(raw)), "other": F.col(raw)}
+    out = None
+    for k, c in parts.items():
+        part = rows.where(F.col("__kind") == k).withColumn("extracted", c)
+        out = part if out is None else out.unionByName(part)
+    return out.drop("__kind")
 
 
 def sections(df: DataFrame, tree: str) -> DataFrame:
