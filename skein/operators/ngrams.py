@@ -79,15 +79,6 @@ def kneser_ney_scores(docs: DataFrame, id: str, tokens: str, tables: list[tuple[
     return case.join(now.select("gram", "p"), "gram").groupBy("id").agg(F.sum("n").alias("targets"), F.sum(-F.log("p") * F.col("n")).alias("nll"))
 
 
-def order_sweep(train: DataFrame, held_out: DataFrame, id: str, tokens: str, orders: list[int], vocabulary: int) -> DataFrame:
-    """(order, targets, nll): the held-out documents under models of several orders."""
-    out = None
-    for n in orders:
-        s = kneser_ney_scores(held_out, id, tokens, kneser_ney_tables(train, tokens, n), vocabulary).agg(F.lit(n).alias("order"), F.sum("targets").alias("targets"), F.sum("nll").alias("nll"))
-        out = s if out is None else out.union(s)
-    return out
-
-
 def segments(windows: DataFrame) -> DataFrame:
     """(window, segment, document_id, w): each document's part of each packed window, as tokens; pads are left out."""
     z = F.arrays_zip(F.col("input_ids").alias("t"), F.col("segment_ids").alias("s"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from skein.catalogue import RECORDS_SQL, query
 from skein.functions import text as X
 from skein.functions import tokens as K
-from skein.operators import ngrams, packing, probes
+from skein.operators import ngrams, packing, probes, sweep
 from skein.operators import statistics as ST
+from skein.operators.latest import latest_per_key, utc_instant
 from skein.plans.corpus_queries import SPLIT_LIST, words_sql
 from skein.sources.manifest import SPLITS, SplitReader, records, split_name
 from skein.sources.tables import table
@@ -147,10 +148,25 @@ def kneser_ney_window_nll(spark: S, sf: str) -> D:
     return scores.groupBy(F.substring_index("id", ":", 1).cast("long").alias("window")).agg(F.sum("targets").alias("targets"), F.round(F.sum("nll"), 4).alias("nll"))
 
 
+def _coded(spark: S, sf: str) -> tuple[D, int]:
+    """(training, low, beside) of the training and validation records: the codes of their words; and how many words are spread.
+
+    Words are coded in the scan, so that the choice of each document's last
+    delivery, the same as that of `records`, moves codes and no texts.
+    """
+    rows = table(spark, sf, "astronomy_sample").select("document_id", "retrieved_at", "split", "text")
+    wanted = split_name().isin("train", "validation")
+    frequent, hot = sweep.frequent_words(rows.where(wanted).select(F.explode(X.words(F.col("text"))).alias("word")))
+    narrow = rows.where("document_id is not null").select("document_id", utc_instant("retrieved_at").alias("at"), F.xxhash64(*rows.columns).alias("tie"), split_name().alias("split"), F.when(wanted, X.words(F.col("text"))).alias("w"))
+    last = latest_per_key(sweep.word_codes(narrow, "w", frequent), "document_id", F.col("at").desc_nulls_last(), F.col("tie"))
+    return last.where("split in ('train', 'validation') and low is not null").select((F.col("split") == "train").alias("training"), "low", "beside"), hot
+
+
 @query()
 def kneser_ney_order_sweep(spark: S, sf: str) -> D:
     """Held-out cost of orders 3 to 6; the least is the order to take."""
-    s = ngrams.order_sweep(_tokens(spark, sf, "train"), _tokens(spark, sf, "validation"), "document_id", "w", ORDERS, V)
+    docs, hot = _coded(spark, sf)
+    s = sweep.order_sweep(docs, ORDERS, V, hot)
     return s.select("order", "targets", F.round("nll", 4).alias("nll"))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import tokens as K
-from skein.operators import ngrams
+from skein.operators import ngrams, sweep
 from skein.operators import statistics as ST
 
 
@@ -75,6 +75,26 @@ def test_add_k(spark):
             assert got[i] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("orders, named, chunk, hot", [([3, 4, 5, 6], 5, 100, 2), ([2, 4], 0, 1 << 20, 0), ([2, 5], 15, 300, 15), ([2], 6, 300, 3)])
+def test_order_sweep(spark, monkeypatch, orders, named, chunk, hot):
+    monkeypatch.setattr(sweep, "CHUNK", chunk)
+    train, held = documents(1, 40), documents(2, 12, 15)
+    df = spark.createDataFrame([(True, t) for _, t in train] + [(False, t) for _, t in held] + [(True, None)], "training boolean, w array<string>")
+    coded = sweep.word_codes(df, "w", [f"t{i}" for i in range(named)]).where("low is not null")
+    got = {r.order: r for r in sweep.order_sweep(coded, orders, 20, hot).collect()}
+    assert sorted(got) == orders
+    for n in orders:
+        p = kneser_ney(train, n, 20)
+        want = sum(-math.log(p(t[max(0, k - n + 1) : k], t[k])) for _, t in held for k in range(1, len(t)))
+        assert got[n].nll == pytest.approx(want) and got[n].targets == sum(max(0, len(t) - 1) for _, t in held)
+
+
+def test_order_sweep_without_training_or_held_out_documents(spark):
+    coded = sweep.word_codes(spark.createDataFrame([(False, ["a", "b", "a"])], "training boolean, w array<string>"), "w", ["a"])
+    assert [(r.order, r.targets, round(r.nll, 6)) for r in sweep.order_sweep(coded, [3, 4], 20).collect()] == [(n, 2, round(2 * math.log(20), 6)) for n in (3, 4)]
+    assert [tuple(r) for r in sweep.order_sweep(coded.where("training"), [3], 20).collect()] == [(3, None, None)]
+
+
 def test_metric_block(spark):
     df = spark.createDataFrame([("a", math.log(2) * 2, 1, 8), ("a", None, 5, 5), ("b", 1.0, 0, 0)], "g string, nll_nats double, tokens long, utf8_bytes long")
     got = {r.g: r for r in ST.metric_block(df, ["g"]).collect()}

@@ -58,6 +58,17 @@ def test_order_sweep_goes_up_to_six(spark):
     assert five == pytest.approx(got[5].nll, abs=0.01)
 
 
+def test_order_sweep_writes_less_than_twice_its_input(spark):
+    from skein.storage import shared_folder
+
+    def size(folder):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder.removeprefix("file:")) for f in files if f.endswith(".parquet"))
+
+    before = size(shared_folder(spark))
+    entry.queries()["kneser_ney_order_sweep"](spark, FOLDER).collect()
+    assert size(shared_folder(spark)) - before < 2 * os.path.getsize(f"{FOLDER}/astronomy_sample.parquet")
+
+
 def test_canary_words_come_from_the_whole_vocabulary(spark, monkeypatch):
     from skein.operators import probes
 
