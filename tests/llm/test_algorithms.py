@@ -296,6 +296,21 @@ def test_repeated_lines(spark):
     assert clean["null"].text is None and clean["other"].text == notice and clean["empty"].text == "" and clean["short"].text == "ok\nok\nok"
 
 
+def test_near_copies_are_collapsed_before_lines_are_counted(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    article, notice = words(200) + "\nthe headline of the article", "all rights are reserved here"
+    rows = [(f"a{i}", "s", article + (f"\nedit {i % 4} of it" if i else ""), f"2020-01-0{i % 2 + 1}") for i in range(6)]
+    rows += [(f"n{i}", "s", words(60) + "\n" + notice, f"2020-02-0{i + 1}") for i in range(4)] + [("null", "s", None, None)]
+    df = spark.createDataFrame(rows, "id string, source string, text string, day string")
+    groups = neardup.near_duplicate_groups(corpus_of(df, "id", "text"), 0.8).select("id", F.col("group_id").alias("cluster"))
+    lines = boilerplate.clustered(boilerplate.line_rows(df, "id", "text", "source", F.col("day")), groups)
+    found = {(r.n_records, r.n_clusters, r.n_texts, r.n_days, r.source_records) for r in boilerplate.repeated_lines(lines).collect()}
+    assert found == {(6, 1, 5, 2, 11), (4, 4, 4, 4, 11)}
+    (r,) = boilerplate.repeated_lines(lines, least_clusters=2).collect()
+    assert r.n_records == 4 and {x.id for x in boilerplate.line_occurrences(lines, boilerplate.repeated_lines(lines, least_clusters=2)).collect()} == {f"n{i}" for i in range(4)}
+
+
 def test_group_splits_keep_related_rows_together(spark):
     rng = random.Random(2)
     rows = [(f"r{i:04d}", f"k{rng.randrange(900)}" if rng.random() < 0.7 else None, f"m{rng.randrange(1200)}", rng.choice(["train", "train", "train", "test", None, "excluded"])) for i in range(1000)]
